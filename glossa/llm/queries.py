@@ -7,17 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import metric_search, mixing, quality, sharding
+from . import html_extract, metric_search, mixing, pii, quality, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """A file of the public tokenizers package."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_consensus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents")).drop("row_no")
 
 
+def op4_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
@@ -31,9 +46,14 @@ def op8_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_search.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read_tokens(spark, files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_feistel_shards, op5_line_first_quality, op6_mix_sources, op8_mtree_top_k)
+    for f in (op1_consensus_text, op3_feistel_shards, op4_private_spans, op5_line_first_quality, op6_mix_sources, op8_mtree_top_k, op9_token_files)
 }
 
 _W = r"'[^\x20\x09-\x0D]+'"
