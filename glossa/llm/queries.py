@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, metric_search, mixing, pii, quality, sharding, token_files
+from . import html_extract, metric_search, mixing, near_dedup, pii, quality, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_consensus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op2_trie_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents")).drop("row_no")
 
@@ -53,7 +57,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_consensus_text, op3_feistel_shards, op4_private_spans, op5_line_first_quality, op6_mix_sources, op8_mtree_top_k, op9_token_files)
+    for f in (op1_consensus_text, op2_trie_near_duplicates, op3_feistel_shards, op4_private_spans, op5_line_first_quality, op6_mix_sources, op8_mtree_top_k, op9_token_files)
 }
 
 _W = r"'[^\x20\x09-\x0D]+'"
