@@ -148,7 +148,7 @@ def _answers(base: DataFrame, dim: int, m2: float, n: int, k: int, query_every:
     salt = F.lit(0) if salts is None else F.pmod(F.xxhash64("vec_id"), F.coalesce(salts[F.col("region")], F.lit(1))).cast("int")
     cells = indexed.withColumn("salt", salt)
 
-    def pages_of(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pages_of(key, pdf):
         v = np.stack(pdf["v"].to_numpy()).astype(np.float64).reshape(len(pdf), dim)
         made = build_pages(pdf["vec_id"].to_numpy(np.int64), v, m2, page_rows)
         f = lambda a: np.asarray(a, np.float64).tobytes()
@@ -161,7 +161,7 @@ def _answers(base: DataFrame, dim: int, m2: float, n: int, k: int, query_every:
     cell = cells.select("region", "salt").distinct()
     right = queries.join(cell.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "block")
 
-    def search(key, pages: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    def search(key, pages, own):
         if not len(pages) or not len(own):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         g = lambda b: np.frombuffer(b, np.float64)

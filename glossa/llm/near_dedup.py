@@ -137,7 +137,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _finish_group(distance: int, skip: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         """Links and forest edges of one pair of nodes; columns side (0: first node, 1: second, 2: both), f, n."""
         depth, same = int(key[0]), bool(key[1] == key[2])
         f, n, side = pdf["f"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64), pdf["side"].to_numpy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, metric_search, mixing, near_dedup, pii, quality, sharding, token_files
+from . import html_extract, metric_search, mixing, near_dedup, ngram_lm, pii, quality, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_search.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -57,7 +61,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_consensus_text, op2_trie_near_duplicates, op3_feistel_shards, op4_private_spans, op5_line_first_quality, op6_mix_sources, op8_mtree_top_k, op9_token_files)
+    for f in (op1_consensus_text, op2_trie_near_duplicates, op3_feistel_shards, op4_private_spans, op5_line_first_quality, op6_mix_sources, op7_deleted_interpolation, op8_mtree_top_k, op9_token_files)
 }
 
 _W = r"'[^\x20\x09-\x0D]+'"
