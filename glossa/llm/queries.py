@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, metric_search, mixing, near_dedup, ngram_lm, pii, quality, sharding, token_files
+from . import html_extract, metric_search, mixing, near_dedup, ngram_lm, piece_lattice, pii, quality, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, files)
 
 
+def op10_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.digest(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_consensus_text, op2_trie_near_duplicates, op3_feistel_shards, op4_private_spans, op5_line_first_quality, op6_mix_sources, op7_deleted_interpolation, op8_mtree_top_k, op9_token_files)
+    for f in (op1_consensus_text, op2_trie_near_duplicates, op3_feistel_shards, op4_private_spans, op5_line_first_quality, op6_mix_sources, op7_deleted_interpolation, op8_mtree_top_k, op9_token_files, op10_piece_ids)
 }
 
 _W = r"'[^\x20\x09-\x0D]+'"
