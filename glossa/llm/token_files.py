@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -126,10 +128,13 @@ class Reader:
 # ---- encoding
 
 _cache: dict[str, object] = {}
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)?\Z")
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+\Z")
+_KNOWN = re.compile(rf" ?[{_LETTERS}0-9{_MARKS}]+(?:\n[{_LETTERS}0-9{_MARKS}]+)*\Z")
+_PRE = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Words a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 def _byte_chars() -> dict[int, int]:
@@ -139,12 +144,26 @@ def _byte_chars() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """What a function gives for strings, worked out when first met; starts afresh when it holds CACHE_WORDS."""
+
+    def __init__(self, of) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, s: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        got = self[s] = self.of(s)
+        return got
+
+
 class Encoder:
     """Encodes as the tokenizers library does, remembering the ids of words.
 
     The pre-tokenizer's pattern never matches across the place before a single space between two others, so a text may be cut there and
-    the pieces encoded each by itself. Letters with a tail of ASCII punctuation are two pre-tokens for certain, whose ids the library's model
-    gives directly; anything else goes through the whole library. Added tokens such as ``<|endoftext|>`` are ordinary text.
+    the pieces encoded each by itself. Where a word has only Latin letters, digits, ASCII punctuation but the apostrophe, and single line feeds, its
+    pre-tokens are certain and the library's model gives their ids; anything else goes through the whole library. Added tokens such as ``<|endoftext|>`` are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
@@ -153,62 +172,40 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.pack = np.dtype(f"<u{self.width}")
+        self.model = self.tok.model
         self.bytes = _byte_chars()
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Memo(self._part)
+        self.words = _Memo(lambda w: self.word(" " + w))
 
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+    def packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.pack).tobytes()
 
-    def part(self, s: str) -> bytes:
-        got = self.parts.get(s)
-        if got is None:
-            got = self.parts[s] = self.pack([t.id for t in self.tok.model.tokenize(s.encode().decode("latin1").translate(self.bytes))])
-        return got
+    def _part(self, s: str) -> bytes:
+        """One pre-token."""
+        return self.packed([t.id for t in self.model.tokenize(s.translate(self.bytes) if s.isascii() else s.encode().decode("latin1").translate(self.bytes))])
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words, self.parts = {}, {}
-        hard = []
-        for w in words:
-            m = _PLAIN.match(w)
-            if m:
-                self.words[w] = self.part(m[1]) + (self.part(m[2]) if m[2] else b"")
-            else:
-                hard.append(w)
-        for w, e in zip(hard, self.tok.encode_batch_fast(hard, add_special_tokens=False) if hard else [], strict=True):
-            self.words[w] = self.pack(e.ids)
+    def word(self, w: str) -> bytes:
+        """A word with the space before it, if any."""
+        if _PLAIN.match(w):
+            return self._part(w)
+        if _KNOWN.match(w):
+            return b"".join(map(self.parts.__getitem__, _PRE.findall(w)))
+        return self.packed(self.tok.encode(w, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as packed little-endian numbers."""
-        if "  " in text or text[:1].isspace() or text[-1:].isspace() or not _simple(text):
-            words = _CUT.split(text)
-        else:
-            first, *rest = text.split(" ")
-            words = [first, *(" " + w for w in rest)]
-        known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if new := {w for w in words if w not in known}:
-            if len(new) > CACHE_WORDS // 2:  # a very long text of its own words
-                return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
-            self.learn(new)
-            known = self.words
-            if any(w not in known for w in words):  # the memory was cleared just now
-                self.learn({w for w in words if w not in known})
-        return b"".join(map(known.__getitem__, words))
+        if not text:
+            return b""
+        if "  " in text or text[0].isspace() or text[-1].isspace() or _SPACE_NEIGHBOUR.search(text):
+            return b"".join(map(self.word, _CUT.split(text)))
+        first, *rest = text.split(" ")
+        return self.word(first) + b"".join(map(self.words.__getitem__, rest))
 
 
 _SPACE_NEIGHBOUR = re.compile(r"(?: [^\S ])|(?:[^\S ] )")
 
 
-def _simple(text: str) -> bool:
-    """Whether every space stands between two characters that aren't white space."""
-    return not _SPACE_NEIGHBOUR.search(text)
-
-
 def encoder(path: str) -> Encoder:
     """One encoder a worker and file."""
     if path not in _cache:
@@ -245,20 +242,25 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, par
     bounds = _bounds(docs, id_col, parts)
 
     def encode(batches):
-        enc = encoder(tokenizer)
-        tail = enc.pack([end_id]) if end_id is not None else b""
+        import zstandard
+
+        enc, squeeze = encoder(tokenizer), zstandard.ZstdCompressor(level=1).compress
+        tail = enc.packed([end_id]) if end_id is not None else b""
+        encode_text = enc.encode
         for b in batches:
             ids = b.column(0).to_pylist()
-            packed = [enc.encode(t) + tail if t else tail for t in b.column(1).to_pylist()]
+            packed = [encode_text(t) + tail if t else tail for t in b.column(1).to_pylist()]
             where = []
             for i, p in zip(ids, packed, strict=True):
                 lo, hi = (0, 0) if i is None else (int(np.searchsorted(bounds, i, "left")), int(np.searchsorted(bounds, i, "right")))
                 # a value that is k bounds fills the parts between them: rows go to one by their bytes, whose order is kept
                 where.append(lo if lo == hi else lo + 1 + (zlib.crc32(p) * (hi - lo) >> 32))
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), b.column(0), pa.array([zlib.crc32(p) for p in packed], pa.int64()), pa.array([zlib.compress(p, 1) for p in packed], pa.binary())], names=["part", "id", "crc", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), b.column(0), pa.array([zlib.crc32(p) for p in packed], pa.int64()), pa.array(list(map(squeeze, packed)), pa.binary())], names=["part", "id", "crc", "ids"])
 
     def write(batches):
-        width = encoder(tokenizer).width
+        import zstandard
+
+        width, expand = encoder(tokenizer).width, zstandard.ZstdDecompressor().decompress
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         part, out = None, None
@@ -277,7 +279,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, par
                         yield close()
                     part, ids, sizes, name = p, [], [], f"{p:06d}-{uuid.uuid4().hex[:8]}"
                     out = fs.open_output_stream(f"{root}/{name}.ids")
-                raw = zlib.decompress(z)
+                raw = expand(z)
                 out.write(raw)
                 ids.append(i)
                 sizes.append(len(raw) // width)
