@@ -2,59 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import filesystem, materialize, shared_dir, ship
+
+__all__ = ["BROADCAST_LIMIT", "WORD", "filesystem", "global_row_number", "materialize", "shared_dir", "ship", "sized_join"]
+
 #: A join side is broadcast only when its measured size is below this many bytes.
 BROADCAST_LIMIT = 8 << 20
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_shipped: set[str] = set()
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder (as a URI or path) under ``spark.checkpoint.dir``, which every executor sees.
-
-    Only where that setting is absent, as in tests on one machine, is a temporary folder made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="glossa-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and nothing is computed twice."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once an application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="glossa-ship-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(out))
-    _shipped.add(sc.applicationId)
-
-
 def sized_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", row_bytes: int = 64, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Join ``left`` to ``right``, one row a key there.
 
@@ -93,12 +52,3 @@ def global_row_number(df: DataFrame, keys: list, name: str = "row_no") -> DataFr
         total += n
     offsets = F.broadcast(spark.createDataFrame(starts, "_part int, _start long"))
     return d.join(offsets, "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_start", "_local")
-
-
-def filesystem(uri: str):
-    """The Arrow filesystem of a shared folder and the path in it; usable in Python workers."""
-    from pyarrow import fs
-
-    if "://" in uri or uri.startswith("file:"):
-        return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri[5:])
-    return fs.LocalFileSystem(), os.path.abspath(uri)
