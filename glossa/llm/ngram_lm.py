@@ -5,14 +5,15 @@ was seen (a bucket for each power of two) and is learned by expectation-maximisa
 the counts of both parts make the final estimates.
 
 Nothing corpus-wide is broadcast or collected. Texts become chunks of token numbers; each chunk sends the hashes and counts of its own distinct
-n-grams, sorted and packed, to the parts of the hash space, gets the corpus's counts of just those back, and is scored with them. What is
-shuffled is a few bytes for each distinct n-gram of a chunk, never texts. The statistics that the driver sees (totals, and histograms of at most
+n-grams, sorted and packed, to the parts of the hash space, gets the corpus's counts of just those back, and is scored with them. Token numbers
+lie in the shared folder, one file a task, and are read from there; what is shuffled is a few bytes for each distinct n-gram of a chunk. The statistics that the driver sees (totals, and histograms of at most
 32 x 1025 cells for the weights) don't grow with the corpus.
 """
 
 from __future__ import annotations
 
 import itertools
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship
+from .common import filesystem, shared_dir, ship
 
 #: Tokens of a chunk: what a Python worker holds at once.
 CHUNK_TOKENS = 1_000_000
@@ -124,8 +125,11 @@ def probabilities(counts: list[np.ndarray], contexts: list[np.ndarray], vocabula
 
 # ---- chunks
 
-_CHUNK = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("fit", pa.binary()), ("dev", pa.binary()), ("is_dev", pa.bool_()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("held", pa.list_(pa.bool_())), ("tokens", pa.binary()), ("hashes", pa.binary())])
-_CHUNK_DDL = "chunk long, part int, k int, keys binary, fit binary, dev binary, is_dev boolean, ids array<long>, sizes array<int>, held array<boolean>, tokens binary, hashes binary"
+#: What a chunk sends: for k >= 1 the sorted distinct k-grams of one part of the hash space with their counts in training, for k = 0 where its tokens lie.
+#: The last bit of a chunk's number says that its documents are those that weights are learned on.
+_ASK = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("path", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("docs", pa.int64())])
+_ASK_DDL = "chunk long, part int, k int, keys binary, counts binary, path string, at long, size long, docs long"
+_BODY = pa.schema([("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("held", pa.list_(pa.bool_())), ("tokens", pa.binary()), ("hashes", pa.binary())])
 
 
 class _Chunk:
@@ -141,34 +145,54 @@ class _Chunk:
         self.tokens.append(t)
         self.total += len(t)
 
-    def rows(self, chunk: int, is_dev: bool, order: int, parts: int) -> list[dict]:
-        tokens, sizes = np.concatenate(self.tokens), np.array(self.sizes)
+    def packed(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The chunk as an Arrow stream, its tokens and the hashes they stand for."""
+        tokens = np.concatenate(self.tokens)
         hashes = np.array([END, *map(_hash, self.number)], np.uint64)
-        out = [{"chunk": chunk, "is_dev": is_dev, "ids": self.ids, "sizes": self.sizes, "held": self.held, "tokens": pack(tokens), "hashes": pack(hashes)}]
+        body = pa.RecordBatch.from_pylist([{"ids": self.ids, "sizes": self.sizes, "held": self.held, "tokens": pack(tokens), "hashes": pack(hashes)}], schema=_BODY)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _BODY) as w:
+            w.write_batch(body)
+        return sink.getvalue().to_pybytes(), tokens, hashes
+
+    def asks(self, chunk: int, tokens: np.ndarray, hashes: np.ndarray, order: int, parts: int) -> list[dict]:
+        sizes = np.array(self.sizes)
         counted = np.repeat(~np.array(self.held), sizes)
         shift = np.uint64(64 - (parts - 1).bit_length()) if parts > 1 else None
+        out = []
         for k, g in enumerate(grams(tokens, hashes, np.cumsum(sizes) - sizes, order), 1):
             keys, at = np.unique(g, return_inverse=True)
             n = np.bincount(at, counted, len(keys)).astype(np.uint32)
             cuts = np.searchsorted(keys >> shift, np.arange(parts + 1, dtype=np.uint64)) if shift is not None else np.array([0, len(keys)])
             for p in np.flatnonzero(np.diff(cuts)):
                 s = slice(cuts[p], cuts[p + 1])
-                own = keys[s]
-                step = np.diff(own, prepend=np.uint64(0))
-                c = pack(n[s])
-                out.append({"chunk": chunk, "part": int(p), "k": k, "keys": pack(step), "fit": None if is_dev else c, "dev": c if is_dev else None})
+                out.append({"chunk": chunk, "part": int(p), "k": k, "keys": pack(np.diff(keys[s], prepend=np.uint64(0))), "counts": pack(n[s])})
         return out
 
 
-def _write_chunks(docs: DataFrame, order: int, parts: int, chunk_tokens: int, path: str, id_col: str, text_col: str) -> DataFrame:
+def _chunks(docs: DataFrame, order: int, parts: int, chunk_tokens: int, folder: str, id_col: str, text_col: str) -> DataFrame:
+    """What all chunks ask; their tokens are written on the way. A retried task writes another file, and its rows name that."""
+
     def run(batches):
         from pyspark import TaskContext
 
         serial = itertools.count(TaskContext.get().partitionId() << 24)
+        fs, root = filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}"
+        file, at = None, 0
         open_: dict[bool, _Chunk] = {}
 
         def close(dev: bool):
-            return pa.RecordBatch.from_pylist(open_.pop(dev).rows(next(serial), dev, order, parts), schema=_CHUNK)
+            nonlocal file, at
+            c, number = open_.pop(dev), next(serial) << 1 | dev
+            body, tokens, hashes = c.packed()
+            file = file or fs.open_output_stream(f"{root}/{name}")
+            file.write(body)
+            rows = c.asks(number, tokens, hashes, order, parts)
+            rows.append({"chunk": number, "part": number % parts, "k": 0, "path": f"{folder}/{name}", "at": at, "size": len(body), "docs": len(c.held) - sum(c.held)})
+            at += len(body)
+            return pa.RecordBatch.from_pylist(rows, schema=_ASK)
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -177,30 +201,31 @@ def _write_chunks(docs: DataFrame, order: int, parts: int, chunk_tokens: int, pa
                 c.add(i, t, held)
                 if c.total >= chunk_tokens:
                     yield close(dev)
-        for dev in list(open_):
-            yield close(dev)
+        last = [close(dev) for dev in list(open_)]
+        if file:
+            file.close()  # before the last rows name it
+        yield from last
 
-    d = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _CHUNK_DDL)
-    d.write.option("compression", "none").parquet(path)
-    return docs.sparkSession.read.schema(_CHUNK_DDL).parquet(path)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _ASK_DDL)
 
 
 # ---- the parts of the hash space
 
-_REPLY = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("k", pa.int32()), ("fit", pa.binary()), ("every", pa.binary()), ("sums", pa.list_(pa.int64())), ("dev_cells", pa.list_(pa.int64())), ("dev_counts", pa.list_(pa.int64()))])
-_REPLY_DDL = "chunk long, part int, k int, fit binary, every binary, sums array<long>, dev_cells array<long>, dev_counts array<long>"
+_REPLY = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("k", pa.int32()), ("fit", pa.binary()), ("every", pa.binary()), ("path", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("docs", pa.int64()), ("sums", pa.list_(pa.int64())), ("dev_cells", pa.list_(pa.int64())), ("dev_counts", pa.list_(pa.int64()))])
+_REPLY_DDL = "chunk long, part int, k int, fit binary, every binary, path string, at long, size long, docs long, sums array<long>, dev_cells array<long>, dev_counts array<long>"
 
 
 def _count_part(key, table: pa.Table) -> pa.Table:
     """Add up the counts of all chunks at the keys of one part and answer each chunk; order 1 also gives the part's totals."""
     part, k = key[0].as_py(), key[1].as_py()
-    cols = {c: table.column(c).to_pylist() for c in ("chunk", "keys", "fit", "dev")}
+    if k == 0:  # where chunks lie, passed on
+        return pa.Table.from_pylist(table.select(["chunk", "part", "k", "path", "at", "size", "docs"]).to_pylist(), schema=_REPLY)
+    cols = {c: table.column(c).to_pylist() for c in ("chunk", "keys", "counts")}
     keys = [np.cumsum(unpack(b, np.uint64), dtype=np.uint64) for b in cols["keys"]]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = {}
-    for name in ("fit", "dev"):
-        n = np.concatenate([unpack(b, np.uint32) if b is not None else np.zeros(len(x), np.uint32) for b, x in zip(cols[name], keys, strict=True)])
-        sums[name] = np.bincount(at, n, len(every)).astype(np.uint64)
+    n = np.concatenate([unpack(b, np.uint32) for b in cols["counts"]])
+    is_dev = np.repeat([c & 1 == 1 for c in cols["chunk"]], [len(x) for x in keys])
+    sums = {"fit": np.bincount(at, n * ~is_dev, len(every)).astype(np.uint64), "dev": np.bincount(at, n * is_dev, len(every)).astype(np.uint64)}
     total = sums["fit"] + sums["dev"]
     out, pos = [], 0
     for c, x in zip(cols["chunk"], keys, strict=True):
@@ -218,12 +243,15 @@ def _count_part(key, table: pa.Table) -> pa.Table:
 class _Counts:
     """Counts and context counts at each token of a chunk."""
 
-    def __init__(self, chunk: pa.Table, replies: pa.Table, order: int) -> None:
-        row = {c: chunk.column(c)[0].as_py() for c in ("ids", "sizes", "held", "tokens", "hashes")}
+    def __init__(self, replies: pa.Table, order: int) -> None:
+        place = next(x for x in replies.select(["k", "path", "at", "size"]).to_pylist() if x["k"] == 0)
+        fs, path = filesystem(place["path"])
+        with fs.open_input_file(path) as f:
+            row = pa.ipc.open_stream(f.read_at(place["size"], place["at"])).read_all().to_pylist()[0]
         self.ids, self.held, self.sizes = row["ids"], row["held"], np.array(row["sizes"])
         self.tokens = unpack(row["tokens"], np.uint32)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        r = sorted(zip(*(replies.column(c).to_pylist() for c in ("k", "part", "fit", "every")), strict=True))
+        r = sorted(x for x in zip(*(replies.column(c).to_pylist() for c in ("k", "part", "fit", "every")), strict=True) if x[0])
         self.at, self.reply = [], {"fit": [], "every": []}
         for k, g in enumerate(grams(self.tokens, unpack(row["hashes"], np.uint64), self.starts, order), 1):
             self.at.append(np.unique(g, return_inverse=True)[1])
@@ -252,8 +280,7 @@ def score(docs: DataFrame, order: int = 2, parts: int | None = None, chunk_token
     ship(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 1 << (max(1, parts) - 1).bit_length()
-    chunks = _write_chunks(docs, order, parts, chunk_tokens, shared_dir(spark, "chunks"), id_col, text_col)
-    asked = chunks.where("part IS NOT NULL").select("chunk", "part", "k", "keys", "fit", "dev")
+    asked = _chunks(docs, order, parts, chunk_tokens, shared_dir(spark, "chunks"), id_col, text_col)
     path = shared_dir(spark, "counts")
     asked.groupBy("part", "k").applyInArrow(lambda key, table: _count_part(key, table), _REPLY_DDL).write.option("compression", "none").parquet(path)
     replies = spark.read.schema(_REPLY_DDL).parquet(path)
@@ -262,54 +289,46 @@ def score(docs: DataFrame, order: int = 2, parts: int | None = None, chunk_token
     stats = replies.where("sums IS NOT NULL")
     n_all, v_all, n_fit, v_fit = (x or 0 for x in stats.agg(*(F.sum(F.col("sums")[i]) for i in range(4))).first())
     cells = stats.select(F.explode(F.arrays_zip("dev_cells", "dev_counts")).alias("x")).groupBy("x.dev_cells").agg(F.sum("x.dev_counts")).collect()  # at most CELLS rows
-    texts = chunks.where("tokens IS NOT NULL").select("chunk", "is_dev", "ids", "sizes", "held", "tokens", "hashes")
-    per_doc = texts.select("is_dev", F.explode("held").alias("h")).where("NOT h").groupBy("is_dev").count().collect()
-    docs_of = {r[0]: r[1] for r in per_doc}
-    d_fit, d_all = docs_of.get(False, 0), sum(docs_of.values())
+    dev = (F.col("chunk").bitwiseAND(F.lit(1))) == 1
+    d_fit, d_all = (x or 0 for x in replies.where("k = 0").agg(F.sum(F.when(~dev, F.col("docs"))), F.sum("docs")).first())
     first = np.zeros(CELLS)
     for c, n in cells:
         ratio = _RATIO[c] * (v_fit + 1) / max(n_fit, 1)
         first[cell(np.array([ratio]))[0]] += n
     weights = [np.full(BUCKETS, learn(first))]
 
-    answers = replies.where("chunk IS NOT NULL").select("chunk", "part", "k", "fit", "every")
+    answers = replies.where("chunk IS NOT NULL").select("chunk", "part", "k", "fit", "every", "path", "at", "size")
     for k in range(2, order + 1):
         known = list(weights)
 
-        def ratios(key, chunk: pa.Table, own: pa.Table, k=k, known=known) -> pa.Table:
-            if not chunk.num_rows:
-                return pa.table({"b": pa.array([], pa.int32()), "c": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
-            counts, contexts = _Counts(chunk, own, order).of("fit", n_fit, d_fit)
+        def ratios(own, k=k, known=known):
+            counts, contexts = _Counts(own, order).of("fit", n_fit, d_fit)
             lower = probabilities(counts, contexts, v_fit, known, k - 1)
             seen = contexts[k - 1] > 0
             code = bucket(contexts[k - 1][seen]) * CELLS + cell(counts[k - 1][seen] / contexts[k - 1][seen] / lower[seen])
             code, n = np.unique(code, return_counts=True)
             return pa.table({"b": pa.array(code // CELLS, pa.int32()), "c": pa.array(code % CELLS, pa.int32()), "n": pa.array(n, pa.int64())})
 
-        dev = texts.where("is_dev")
-        own = answers.join(dev.select("chunk"), "chunk", "left_semi")
-        found = dev.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_three(ratios), "b int, c int, n long")
+        found = answers.where(dev).groupBy("chunk").applyInArrow(_alone(ratios), "b int, c int, n long")
         table = np.zeros((BUCKETS, CELLS))
         for b, c, n in found.groupBy("b", "c").agg(F.sum("n")).collect():  # at most BUCKETS * CELLS rows
             table[b, c] = n
         weights.append(np.array([learn(row) if row.sum() else 0.5 for row in table]))
 
-    def scores(key, chunk: pa.Table, own: pa.Table) -> pa.Table:
-        if not chunk.num_rows:
-            return _SCORES.empty_table()
-        c = _Counts(chunk, own, order)
+    def scores(own):
+        c = _Counts(own, order)
         counts, contexts = c.of("every", n_all, d_all)
         p = probabilities(counts, contexts, v_all, weights, order)
         add = lambda x: np.add.reduceat(x, c.starts) if len(c.starts) else np.zeros(0)
         base = np.log10((counts[0] + 0.1) / (n_all + 0.1 * (v_all + 1)))
         return pa.table([pa.array(c.ids, pa.int64()), pa.array(c.held), pa.array(c.sizes, pa.int64()), pa.array(add((counts[0] > 0).astype(np.int64))), pa.array(np.full(len(c.ids), n_all), pa.int64()), pa.array(add(base)), pa.array(add(np.log10(p)))], schema=_SCORES)
 
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_three(scores), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return answers.groupBy("chunk").applyInArrow(_alone(scores), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _three(f):
-    """A function of exactly (key, left, right), as grouped maps want it."""
-    return lambda key, left, right: f(key, left, right)
+def _alone(f):
+    """A function of exactly one table, as grouped maps want it."""
+    return lambda table: f(table)
