@@ -51,9 +51,9 @@ def common_prefix(s: Column, query: str) -> Column:
 def common_prefix_bytes(a: Column, b: Column) -> Column:
     """How many leading bytes two strings share."""
     x, y = F.hex(F.encode(a, "utf-8")), F.hex(F.encode(b, "utf-8"))
-    n = F.least(F.octet_length(a), F.octet_length(b))
+    n = F.when(a.isNotNull() & b.isNotNull(), F.least(F.octet_length(a), F.octet_length(b)))
     step = lambda m, i: F.when((m == i - 1) & (F.substring(x, 2 * i - 1, F.lit(2)) == F.substring(y, 2 * i - 1, F.lit(2))), i).otherwise(m)
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step)).otherwise(F.lit(0))
+    return F.when(n == 0, F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step))
 
 
 def _by_length(suffixes: list[str]) -> list[tuple[int, str]]:

@@ -2,25 +2,51 @@
 
 from __future__ import annotations
 
-import posixpath
-from urllib.parse import unquote, urlparse
-
+import pandas as pd
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import filesystem, ship
+
 SCHEMA = "dict string, archive string, path string, content binary, length long"
 
 
+def _listed(root: str) -> list[tuple[str, str, int]]:
+    """(path below the root, full path, size) of every regular file."""
+    fs, base = filesystem(root)
+    found = fs.get_file_info(FileSelector(base, recursive=True))
+    head = root[: len(root) - len(base)] if root.endswith(base) else ""
+    base = base.rstrip("/")
+    return [(f.path[len(base) + 1 :], head + f.path, f.size) for f in found if f.type == FileType.File]
+
+
 def read_tree(spark: SparkSession, roots: str | list[str], archive: str, name: str) -> DataFrame:
-    """files of one or more roots, found recursively; the key is the path below its root with forward slashes."""
-    out = None
-    for root in [roots] if isinstance(roots, str) else roots:
-        base = unquote(urlparse(root).path) if "://" in root else posixpath.abspath(root)
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        path = F.url_decode(F.replace(F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
-        d = found.select(F.lit(name).alias("dict"), F.lit(archive).alias("archive"), F.ltrim(F.substring(path, len(base.rstrip("/")) + 1, 1 << 20), F.lit("/")).alias("path"), "content", "length")
-        out = d if out is None else out.unionByName(d)
-    return out
+    """files of one or more roots, found recursively; the key is the path below its root with forward slashes.
+
+    Spark's own binary source leaves out empty and hidden files, so paths are listed here and tasks of about 64 MB read the contents.
+    """
+    ship(spark)
+    every = [x for root in ([roots] if isinstance(roots, str) else roots) for x in _listed(root)]
+    if not every:
+        return spark.createDataFrame([], SCHEMA)
+    rows, task, held = [], 0, 0
+    for key, full, size in every:
+        if held and held + size > 64 << 20:
+            task, held = task + 1, 0
+        held += size + 1024
+        rows.append((task, key, full))
+
+    def read(batches):
+        for pdf in batches:
+            for key, full in zip(pdf["path"], pdf["full"], strict=True):
+                fs, at = filesystem(full)
+                with fs.open_input_stream(at) as f:
+                    content = f.read()
+                yield pd.DataFrame({"dict": [name], "archive": [archive], "path": [key], "content": [content], "length": [len(content)]})
+
+    listed = spark.createDataFrame(rows, "task int, path string, full string").repartitionById(task + 1, F.col("task"))
+    return listed.mapInPandas(read, SCHEMA)
 
 
 def from_items(spark: SparkSession, items: list[tuple[str, bytes]], archive: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def file_stream(spark: SparkSession, root: str, archive: str, name: str, files_per_batch: int = 8) -> DataFrame:
-    """files that appear below a folder; a bounded number a batch is the back-pressure."""
+    """files that appear below a folder; a bounded number a batch is the back-pressure. Spark's streaming source passes empty and hidden files over."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     d = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(root)
     base = root.rstrip("/")
