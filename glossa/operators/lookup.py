@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import materialize
+from ..functions.text import trim_whitespace
+from ..plans.durable import materialize, numbered
 
 LINK = "@@@LINK="
 
@@ -44,14 +45,10 @@ def key_codes(entries: DataFrame) -> DataFrame:
 
     first_index is the place in (key, entry_no) order of the dictionary; code = dup_count * 2^32 + first_index.
     """
-    from ..plans.durable import numbered
-
     runs = entries.groupBy("dict", "key").agg(F.count("*").alias("n"), F.min("entry_no").alias("first_entry"))
     order = numbered(runs, "dict", "key", name="_no", first=0)
     # entries before a key in its dictionary: a running sum, made from the sums of blocks of a thousand keys
     order = materialize(order.withColumn("_block", F.floor(F.col("_no") / 1000)), "runs")
-    from pyspark.sql import Window
-
     blocks = order.groupBy("dict", "_block").agg(F.sum("n").alias("s"))
     w = Window.partitionBy("dict").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select("dict", "_block", F.coalesce(F.sum("s").over(w), F.lit(0)).alias("base"))
@@ -87,8 +84,6 @@ def exact_match_many(entries: DataFrame, words: DataFrame, names: list[str] | No
 
 def _targets(hits: DataFrame) -> DataFrame:
     link = F.split(F.col("value"), LINK, -1)
-    from ..functions.text import trim_whitespace
-
     return hits.where(F.contains("value", F.lit(LINK))).select("dict", "start", trim_whitespace(F.get(link, F.lit(1))).alias("key")).distinct()
 
 
@@ -99,7 +94,9 @@ def resolve(entries: DataFrame, starts: DataFrame, names: list[str] | None = Non
     round joins the new words of all dictionaries at once; a word is visited once for a start, so cycles end.
     """
     e = chosen(entries, names)
-    front = materialize(e.select("dict").distinct().join(F.broadcast(starts.select("start").distinct()) if starts.count() < 10_000 else starts.select("start").distinct()).select("dict", "start", F.col("start").alias("key")), "front")
+    # a start that is no key of a dictionary leads nowhere in it, so the first round is an equi-join too
+    own = starts.select("start").distinct()
+    front = materialize(own.join(e.select("dict", "key").distinct(), F.col("start") == F.col("key")).select("dict", "start", "key"), "front")
     seen, hits = front, None
     while True:
         found = materialize(front.join(e, ["dict", "key"]).select("dict", "start", "key", "entry_no", "value"), "hits")
@@ -112,8 +109,6 @@ def resolve(entries: DataFrame, starts: DataFrame, names: list[str] | None = Non
 
 def lookup(entries: DataFrame, word: str, names: list[str] | None = None) -> dict[str, list[str]]:
     """dictionary -> values of one word with redirects replaced, in place, by what they lead to (depth first, each word once)."""
-    spark = entries.sparkSession
-    starts = spark.createDataFrame([(word,)], "start string")
     e = chosen(entries, names)
     front, seen = {word}, {word}
     values: dict[tuple[str, str], list[str]] = {}
@@ -123,7 +118,6 @@ def lookup(entries: DataFrame, word: str, names: list[str] | None = None) -> dic
             values.setdefault((r.dict, r.key), []).append(r.value)
         front = {r.value.split(LINK)[1].strip() for r in got if LINK in r.value} - seen
         seen |= front
-    del starts
     out: dict[str, list[str]] = {}
     for name in sorted({d for d, k in values if k == word}):
         shown, result = [word], []

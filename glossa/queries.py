@@ -108,15 +108,11 @@ def _indel_ctes(q: str) -> str:
     n = len(q)
     start = ", ".join(f"{i} AS d{i}" for i in range(n + 1))
     lit = [c.replace("'", "''") for c in q]
-    prev = "d0 + 1"
-    cols, inner = ["e0"], ["d0 + 1 AS e0"]
-    steps = "SELECT key, i, *, d0 + 1 AS e0 FROM s"
+    source = ", ".join(f"d{i}" for i in range(n + 1))
+    steps = f"SELECT key, i + 1 AS i, substr(key, i + 1, 1) AS c, {source}, d0 + 1 AS e0 FROM dp WHERE i < length(key)"
     for j in range(1, n + 1):
         steps = f"SELECT *, least(e{j - 1} + 1, d{j} + 1, d{j - 1} + CASE WHEN c = '{lit[j - 1]}' THEN 0 ELSE 2 END) AS e{j} FROM ({steps})"
-    del prev, cols, inner
     out = ", ".join(f"e{i} AS d{i}" for i in range(n + 1))
-    source = ", ".join(f"d{i}" for i in range(n + 1))
-    steps = steps.replace("SELECT key, i, *, d0 + 1 AS e0 FROM s", f"SELECT key, i + 1 AS i, substr(key, i + 1, 1) AS c, {source}, d0 + 1 AS e0 FROM dp WHERE i < length(key)")
     return f"dp AS (SELECT key, 0 AS i, {start} FROM cand UNION ALL SELECT key, i, {out} FROM ({steps})), d AS (SELECT key, d{n} AS distance FROM dp WHERE i = length(key))"
 
 
@@ -199,7 +195,12 @@ def predictive_join(spark, sf_dir):
     return batch.predictive_join(links(spark, sf_dir), q)
 
 
-@query()
+def _cut(table: str, word: str) -> str:
+    """Each word with what is left of it after at most one deletion."""
+    return f"(SELECT {word}, {word} AS v, 0 AS n FROM {table} UNION SELECT {word}, substr({word}, 1, CAST(i AS INTEGER) - 1) || substr({word}, CAST(i AS INTEGER) + 1), 1 FROM (SELECT {word}, unnest(range(1, length({word}) + 1)) AS i FROM {table}))"
+
+
+@query(f"WITH {_WORDS}, {_QUERY_WORDS}, k AS (SELECT DISTINCT key FROM words WHERE dict = 'en'), a AS {_cut('q', 'word')}, b AS {_cut('k', 'key')} SELECT word, key, CAST(min(a.n + b.n) AS INTEGER) AS distance FROM a JOIN b USING (v) WHERE a.n + b.n <= 1 GROUP BY word, key")
 def edit_distance_join(spark, sf_dir):
     return batch.edit_distance_join(words(spark, sf_dir), _query_words(spark, sf_dir), 1, ["en"])
 
