@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import filesystem, materialize, shared_dir, ship
 
-__all__ = ["BROADCAST_LIMIT", "WORD", "filesystem", "global_row_number", "materialize", "shared_dir", "ship", "sized_join"]
+__all__ = ["BROADCAST_LIMIT", "WORD", "filesystem", "global_row_number", "materialize", "parts_for", "shared_dir", "ship", "sized_join"]
 
 #: A join side is broadcast only when its measured size is below this many bytes.
 BROADCAST_LIMIT = 8 << 20
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+def parts_for(df: DataFrame) -> int:
+    """Partitions that suit a shuffle of what ``df`` yields: the session's setting, but no fewer than its input has."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions(), 1)
+
+
 def sized_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", row_bytes: int = 64, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Join ``left`` to ``right``, one row a key there.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_dir, ship
+from .common import filesystem, parts_for, shared_dir, ship
 
 #: Tokens of a chunk: what a Python worker holds at once.
 CHUNK_TOKENS = 1_000_000
@@ -274,11 +274,11 @@ def score(docs: DataFrame, order: int = 2, parts: int | None = None, chunk_token
     Documents whose crc32(doc_id as text) mod 10 is 0 are held out; all others are learned from. A token is a word or a document's end.
     n_known counts tokens seen in training; base_score is the add-0.1 unigram log10 probability; score the model's. A null text has the
     end alone; a null id is hashed as the empty string (held out); rows that repeat an id count and are scored each. An empty table gives an empty result.
-    parts: of the hash space, a power of two at least spark.sql.shuffle.partitions by default. Counts are exact but for collisions of 64-bit hashes.
+    parts: of the hash space, rounded up to a power of two; by default as many as the session shuffles into, or the input has. Counts are exact but for collisions of 64-bit hashes.
     """
     spark = docs.sparkSession
     ship(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_for(docs)
     parts = 1 << (max(1, parts) - 1).bit_length()
     asked = _chunks(docs, order, parts, chunk_tokens, shared_dir(spark, "chunks"), id_col, text_col)
     path = shared_dir(spark, "counts")

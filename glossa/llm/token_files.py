@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_dir, ship
+from .common import filesystem, parts_for, shared_dir, ship
 
 MAGIC = b"GLEF1\0\0\0"
 EVERY = 64
@@ -238,7 +238,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, par
     spark = docs.sparkSession
     ship(spark)
     folder = folder or shared_dir(spark, "tokens")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_for(docs)
     bounds = _bounds(docs, id_col, parts)
 
     def encode(batches):
