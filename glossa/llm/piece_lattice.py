@@ -16,18 +16,27 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from collections import defaultdict
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import filesystem, materialize, shared_dir, ship
 
 MARK = "▁"
 #: Words up to this many code points are exploded; longer ones are folded where they are met.
 LONGEST = 48
+#: Words that a worker remembers before it starts afresh, and rows that it handles at once.
+REMEMBERED, SLICE = 300_000, 1000
+#: Distinct words of a task that folds lattices: their edges fit its memory.
+PART_WORDS = 25_000
+#: Characters below this number are found in an array.
+TABLED = 0x250
 
 
 class Pieces:
@@ -45,6 +54,9 @@ class Pieces:
         self.bytes_of = {i: p.replace(MARK, " ").encode() for p, i, _ in rows} | {i: s.encode() for i, s in (specials or {}).items()}
         self.byte_of = {i: b for b, i in enumerate(byte_ids or [])}
         self.bytes_of |= {i: bytes([b]) for i, b in self.byte_of.items()}
+        self.spelled = np.empty(max(self.bytes_of, default=0) + 1, object)
+        for i, b in self.bytes_of.items():
+            self.spelled[i] = b
 
     @classmethod
     def load(cls, path: str, kind: str = "bpe") -> Pieces:
@@ -67,6 +79,8 @@ class Pieces:
     def atoms(self, word: str) -> list[str]:
         """The parts of a word between neighbours that occur side by side in no piece."""
         pairs, last, out = self.pairs, 0, []
+        if pairs.issuperset(map(add, word, word[1:])):
+            return [word]
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] not in pairs:
                 out.append(word[last:i])
@@ -127,7 +141,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of some ids: bytes joined and read as UTF-8, space marks as spaces, the first one taken off."""
-        s = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        s = b"".join(self.spelled[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "replace")
         return s[1:] if self.prefix and s.startswith(" ") else s
 
 
@@ -147,94 +161,119 @@ def _plain(text: str) -> bool:
 # ---- the lattice in Spark
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """word and edges, an array of (start, len, id, score, text): all pieces in it, and each character that is none (id null).
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, tabled: int = 0) -> DataFrame:
+    """word and edges, an array of (rank, start, ends, inner, id, text): all pieces in it, and each character that is none (id null).
 
-    words: distinct, in a column ``word``, partitioned by it, which the explosion and the broadcast join keep; so the grouping moves nothing.
+    rank is the score with its sign turned, so that the best come first; ends has the bits of the two boundaries and inner those between them.
+    Characters below ``tabled`` but a word's last aren't exploded alone: the fold finds them in an array by their number.
+    words: distinct, in a column ``word``, partitioned by it, which the explosions and the broadcast join keep; so the grouping moves nothing.
     """
     n = F.char_length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda size: F.struct(i.alias("s"), size.alias("l")))))
-    subs = words.where("word <> ''").select("word", F.explode(spans).alias("x")).select("word", F.col("x.s").alias("s"), F.col("x.l").alias("l"))
+    subs = words.where("word <> ''").select("word", F.explode(F.sequence(F.lit(1), n)).alias("s"))
+    low = (F.expr("ascii(substring(word, s, 1))") < tabled).cast("int")
+    most = F.least(F.lit(longest), n - F.col("s") + 1)
+    # the last character always stays, so that every word has a row
+    subs = subs.select("word", "s", F.explode(F.sequence(F.least(low + 1, F.greatest(most, F.lit(1))), F.greatest(most, F.lit(1)))).alias("l"))
     subs = subs.withColumn("piece", F.substring(F.col("word"), F.col("s"), F.col("l")))
     edges = subs.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR l = 1")
-    return edges.groupBy("word").agg(F.collect_list(F.struct((F.col("s") - 1).alias("start"), F.col("l").alias("len"), "id", "score", F.when(F.col("id").isNull(), F.col("piece")).alias("text"))).alias("edges"))
+    ends = F.expr("shiftleft(1L, s - 1) | shiftleft(1L, s - 1 + l)")
+    inner = F.expr("shiftleft(1L, s - 1 + l) - shiftleft(1L, s)")
+    text = F.when(F.col("id").isNull(), F.col("piece"))
+    return edges.groupBy("word").agg(F.collect_list(F.struct((-F.col("score")).alias("rank"), (F.col("s") - 1).alias("start"), ends.alias("ends"), inner.alias("inner"), "id", text.alias("text"))).alias("edges"))
 
 
 def _ids(path: Column, unk: int, byte_ids: list[int] | None) -> Column:
     """The ids of a path of edges; a character that is no piece becomes its bytes, or the unknown piece."""
+    plain = F.transform(path, lambda e: F.coalesce(e["id"], F.lit(unk)))
     if byte_ids is None:
-        return F.transform(path, lambda e: F.coalesce(e["id"], F.lit(unk)))
+        return plain
     table = F.lit(byte_ids)
 
     def spelled(c: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.element_at(table, F.conv(F.substring(F.hex(c), 2 * i - 1, F.lit(2)), 16, 10).cast("int") + 1))
 
-    return F.flatten(F.transform(path, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spelled(e["text"]))))
+    odd = F.flatten(F.transform(path, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spelled(e["text"]))))
+    return F.when(F.exists(path, lambda e: e["id"].isNull()), odd).otherwise(plain)
 
 
-def fold_bpe(lat: DataFrame, unk: int, byte_ids: list[int] | None) -> DataFrame:
+def fold_bpe(lat: DataFrame, unk: int, byte_ids: list[int] | None, table: list[int | None] | None = None) -> DataFrame:
     """word, ids. The state is the set of boundaries as bits; each step takes the best edge over exactly one inner boundary and drops that."""
-    one = F.lit(1).cast("long")
-    e = F.col("edges")
+    d = lat.withColumn("ranked", F.sort_array(F.filter("edges", lambda x: x["inner"] != 0)))
     n = F.char_length("word")
-    ends = lambda x: F.expr("1L") if x is None else F.call_function("shiftleft", one, x["start"]).bitwiseOR(F.call_function("shiftleft", one, x["start"] + x["len"]))
-    inner = lambda x: F.call_function("shiftleft", one, x["start"] + x["len"]) - F.call_function("shiftleft", one, x["start"] + 1)
-    ranked = F.array_sort(F.transform(F.filter(e, lambda x: x["len"] > 1), lambda x: F.struct((-x["score"]).alias("r"), x["start"].alias("s"), ends(x).alias("e"), inner(x).alias("i"))))
-    d = lat.withColumn("ranked", ranked).withColumn("n", n)
 
     def step(m: Column, _: Column) -> Column:
-        able = F.filter("ranked", lambda x: (m.bitwiseAND(x["e"]) == x["e"]) & (F.bit_count(m.bitwiseAND(x["i"])) == 1))
-        return F.coalesce(m.bitwiseAND(F.bitwise_not(F.get(able, F.lit(0))["i"])), m)
+        able = F.filter("ranked", lambda x: (F.bit_count(m.bitwiseAND(x["inner"])) == 1) & (m.bitwiseAND(x["ends"]) == x["ends"]))
+        return F.coalesce(m.bitwiseAND(F.bitwise_not(F.get(able, F.lit(0))["inner"])), m)
 
-    every = F.call_function("shiftleft", one, F.col("n") + 1) - 1
-    steps = F.when(F.size("ranked") > 0, F.sequence(F.lit(1), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    every = F.expr("shiftleft(1L, char_length(word) + 1) - 1")
+    steps = F.when(F.size("ranked") > 0, F.sequence(F.lit(1), F.least(n - 1, F.size("ranked")))).otherwise(F.array().cast("array<int>"))
     d = d.withColumn("m", F.aggregate(steps, every, step))
-    path = F.array_sort(F.filter("edges", lambda x: (F.col("m").bitwiseAND(ends(x)) == ends(x)) & (F.col("m").bitwiseAND(inner(x)) == 0)))
-    return d.select("word", _ids(path, unk, byte_ids).alias("ids"))
+    left = F.filter("edges", lambda x: (F.col("m").bitwiseAND(x["inner"]) == 0) & (F.col("m").bitwiseAND(x["ends"]) == x["ends"]))
+    path = F.transform(left, lambda x: F.struct(x["start"].alias("start"), x["id"].alias("id"), x["text"].alias("text")))
+    if table:
+        ids = F.array(*[F.lit(i).cast("int") for i in table])
+        char = lambda i: F.substring(F.col("word"), i + 1, F.lit(1))
+        alone = lambda i: F.call_function("shiftrightunsigned", F.col("m"), i).bitwiseAND(F.lit(3)) == 3
+        single = F.filter(F.sequence(F.lit(0), n - 2), lambda i: alone(i) & (F.ascii(char(i)) < len(table)))
+        path = F.when(n > 1, F.concat(path, F.transform(single, lambda i: F.struct(i.alias("start"), F.element_at(ids, F.ascii(char(i)) + 1).alias("id"), char(i).alias("text"))))).otherwise(path)
+    return d.select("word", _ids(F.sort_array(path), unk, byte_ids).alias("ids"))
 
 
 def fold_viterbi(lat: DataFrame, unk: int, byte_ids: list[int] | None, unk_score: float) -> DataFrame:
     """word, ids. The state is one (sum, start, edge) a position; ties go to the longest last piece, as in Pieces.fold."""
     n = F.char_length("word")
-    cell = "struct<a:double,s:int,x:struct<start:int,len:int,id:int,score:double,text:string>>"
-    first = F.array(F.struct(F.lit(0.0).alias("a"), F.lit(0).alias("s"), F.lit(None).cast("struct<start:int,len:int,id:int,score:double,text:string>").alias("x")).cast(cell))
+    edge = "struct<rank:double,start:int,ends:bigint,inner:bigint,id:int,text:string>"
+    cell = f"struct<a:double,s:int,x:{edge}>"
+    first = F.array(F.struct(F.lit(0.0).alias("a"), F.lit(0).alias("s"), F.lit(None).cast(edge).alias("x")).cast(cell))
 
     def step(st: Column, i: Column) -> Column:
-        ending = F.filter("edges", lambda x: x["start"] + x["len"] == i)
-        scored = F.transform(ending, lambda x: F.struct((F.get(st, x["start"])["a"] + F.coalesce(x["score"], F.lit(unk_score))).alias("a"), (-x["start"]).alias("s"), x.alias("x")).cast(cell))
+        ending = F.filter("edges", lambda x: F.call_function("shiftrightunsigned", x["ends"], i) == 1)
+        scored = F.transform(ending, lambda x: F.struct((F.get(st, x["start"])["a"] - F.coalesce(x["rank"], F.lit(-unk_score))).alias("a"), (-x["start"]).alias("s"), x.alias("x")).cast(cell))
         return F.concat(st, F.array(F.array_max(scored)))
 
-    best = F.aggregate(F.sequence(F.lit(1), n), first, step)
-    d = lat.withColumn("best", best)
+    d = lat.withColumn("best", F.aggregate(F.sequence(F.lit(1), n), first, step))
 
     def back(st: Column, _: Column) -> Column:
         here = F.get(F.col("best"), st["at"])
         return F.when(st["at"] == 0, st).otherwise(F.struct((-here["s"]).alias("at"), F.concat(F.array(here["x"]), st["path"]).alias("path")))
 
-    empty = F.struct(n.alias("at"), F.array().cast("array<struct<start:int,len:int,id:int,score:double,text:string>>").alias("path"))
-    path = F.aggregate(F.sequence(F.lit(1), n), empty, back)["path"]
+    path = F.aggregate(F.sequence(F.lit(1), n), F.struct(n.alias("at"), F.array().cast(f"array<{edge}>").alias("path")), back)["path"]
     return d.select("word", _ids(path, unk, byte_ids).alias("ids"))
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """word, ids for the distinct words (of at most LONGEST code points) in ``words``."""
-    lat = lattice(words.select("word").repartition("word"), pieces.table(words.sparkSession), pieces.longest)
+    parts = max(1, -(-words.count() // PART_WORDS))
+    own, table = words.select("word").repartition(parts, "word"), pieces.table(words.sparkSession)
     if pieces.kind == "bpe":
-        return fold_bpe(lat, pieces.unk, pieces.byte_ids)
+        return fold_bpe(lattice(own, table, pieces.longest, TABLED), pieces.unk, pieces.byte_ids, [pieces.ids.get(chr(c)) for c in range(TABLED)])
+    lat = lattice(own, table, pieces.longest)
     return fold_viterbi(lat, pieces.unk, pieces.byte_ids, pieces.unk_score)
 
 
 # ---- dictionaries
 
 
+class _Memo(dict):
+    """Packed ids of words after one mark, worked out when first met; starts afresh when it holds REMEMBERED."""
+
+    def __init__(self, of) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, w: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        got = self[w] = self.of(MARK + w)
+        return got
+
+
 class Speller:
     """Ids of words, as packed int32, from a dictionary of atoms and the folds for the rest."""
 
     def __init__(self, pieces: Pieces, known: dict[str, bytes] | None = None) -> None:
         self.pieces, self.known = pieces, known or {}
-        self.misses = 0
-        self.words: dict[str, bytes] = defaultdict()
-        self.plain: dict[str, bytes] = {}
+        self.plain = _Memo(self.word)
 
     def atom(self, a: str) -> bytes:
         got = self.known.get(a)
@@ -242,22 +281,17 @@ class Speller:
             got = np.array(self.pieces.fold(a), "<i4").tobytes()
             if len(a) <= LONGEST:
                 self.known[a] = got
-                self.misses += len(a) > 1
         return got
 
     def word(self, w: str) -> bytes:
-        return b"".join(map(self.atom, self.pieces.atoms(w)))
+        own = self.pieces.atoms(w)
+        return self.atom(own[0]) if len(own) == 1 else b"".join(map(self.atom, own))
 
     def text(self, t: str | None) -> np.ndarray:
         if not t:
             return np.empty(0, np.int32)
         if self.pieces.prefix and _plain(t):
-            parts, plain = t.split(" "), self.plain
-            for w in {w for w in parts if w not in plain}:
-                plain[w] = self.word(MARK + w)
-            raw = b"".join(map(plain.__getitem__, parts))
-            if len(plain) > 600_000:
-                self.plain = {}
+            raw = b"".join(map(self.plain.__getitem__, t.split(" ")))
         else:
             raw = b"".join(map(self.word, words_of(t, self.pieces.prefix)))
         return np.frombuffer(raw, "<i4")
@@ -289,20 +323,26 @@ def _dictionaries(docs: DataFrame, pieces: Pieces, text_col: str) -> str:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId()
+        plain: set[str] = set()  # words after one mark, without it
         words: set[str] = set()
         atoms: set[str] = set()
         for b in batches:
             for t in b.column(0).to_pylist():
                 if not t:
                     continue
-                new = {MARK + w for w in t.split(" ")} if pieces.prefix and _plain(t) else set(words_of(t, pieces.prefix))
-                new -= words
-                words |= new
-                for w in new:
-                    atoms.update(pieces.atoms(w))
-                if len(words) > 600_000:
-                    words = set()
-                if len(atoms) > 600_000:
+                if pieces.prefix and _plain(t):
+                    new = set(t.split(" ")) - plain
+                    plain |= new
+                    for w in new:
+                        atoms.update(pieces.atoms(MARK + w))
+                else:
+                    new = set(words_of(t, pieces.prefix)) - words
+                    words |= new
+                    for w in new:
+                        atoms.update(pieces.atoms(w))
+                if len(plain) + len(words) > REMEMBERED:
+                    plain, words = set(), set()
+                if len(atoms) > REMEMBERED:
                     yield send(chunk, atoms)
                     atoms = set()
         if atoms:
@@ -371,27 +411,30 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", text_col: str = "text
     """
     if out in docs.columns:
         raise ValueError(f"docs has a column {out} already")
-    spark = docs.sparkSession
-    ship(spark)
-    pieces = _pieces(model, kind)
-    folder = _dictionaries(docs, pieces, text_col)
     at = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField(out, ArrayType(IntegerType()), True)])
+    return _assemble(docs, model, kind, text_col, schema, lambda own, b, ids: pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, out]), at)
+
+
+def _assemble(docs: DataFrame, model: str, kind: str, text_col: str, schema, finish, at: int) -> DataFrame:
+    """Encode the texts of ``docs`` and give what ``finish`` makes of each batch and its ids."""
+    ship(docs.sparkSession)
+    folder = _dictionaries(docs, _pieces(model, kind), text_col)
 
     def run(batches):
         from pyspark import TaskContext
 
         own = _pieces(model, kind)
         speller = None
-        for b in batches:
+        for whole in batches:
             speller = speller or Speller(own, _load_dictionary(folder, TaskContext.get().partitionId()))
-            ids = [speller.text(t) for t in b.column(at).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))], names=[*b.schema.names, out])
-
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+            for lo in range(0, whole.num_rows, SLICE):
+                b = whole.slice(lo, SLICE)
+                ids = [speller.text(t) for t in b.column(at).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                yield finish(own, b, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, ArrayType(IntegerType()), True)]))
+    return docs.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: str, kind: str = "bpe", ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -408,20 +451,15 @@ def decode(encoded: DataFrame, model: str, kind: str = "bpe", ids_col: str = "id
 
 def digest(docs: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit numbers), decoded_crc32 (of the decoded text), ids for every row."""
-    import zlib
-
-    ship(docs.sparkSession)
-    e = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, kind)
     type_of = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches):
-        own = _pieces(model, kind)
-        for b in batches:
-            ids = b.column(2)
-            offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<i4")
-            parts = [values[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-            crc = [zlib.crc32(p) for p in parts]
-            back = [zlib.crc32(own.decode(p.tolist()).encode("utf-8", "surrogatepass")) for p in parts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) for p in parts], pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.int64()), ids], names=["doc_id", "n_tokens", "ids_crc32", "decoded_crc32", "ids"])
+    def finish(own: Pieces, b: pa.RecordBatch, ids: pa.ListArray) -> pa.RecordBatch:
+        offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<i4")
+        crc, back = [], []
+        for s, e in zip(offsets[:-1], offsets[1:], strict=True):
+            crc.append(zlib.crc32(values[s:e]))
+            back.append(zlib.crc32(own.decode(values[s:e]).encode("utf-8", "surrogatepass")))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(back, pa.int64()), ids], names=["doc_id", "n_tokens", "ids_crc32", "decoded_crc32", "ids"])
 
-    return e.mapInArrow(run, f"doc_id {type_of}, n_tokens long, ids_crc32 long, decoded_crc32 long, ids array<int>")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _assemble(own, model, kind, "text", f"doc_id {type_of}, n_tokens long, ids_crc32 long, decoded_crc32 long, ids array<int>", finish, 1)
