@@ -289,13 +289,13 @@ def _spread(fps: DataFrame, per: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, distance: int = 3, limit: int = LEAVES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` less all but one of each component: the one of the smallest id stays, with all its columns.
 
-    Where rows repeat an id, the one whose text has the smallest hash stays. Rows without an id are kept. The ids of
-    what stays, one long a component, are joined; texts are shuffled only if these exceed the broadcast limit of the session.
+    Where rows repeat an id, the one whose text has the smallest hash stays. Rows without an id are kept. What is joined is the ids that
+    go, fewer than those that stay; only if they exceed the broadcast limit of the session are the rows shuffled, once, by id.
     """
     classes = near_duplicates(docs, distance, limit, id_col, text_col)
-    ids = materialize(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "stay")
-    d = docs.join(ids.select("_id"), F.col(id_col) == F.col("_id"), "left_semi")
-    if ids.where("_rows > 1").limit(1).count():
+    gone = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    d = docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    if classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
         first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-        d = d.withColumn("_first", first).where("_first = 1").drop("_first")
-    return d.unionByName(docs.where(F.col(id_col).isNull()))
+        d = d.withColumn("_first", first).where((F.col("_first") == 1) | F.col(id_col).isNull()).drop("_first")
+    return d

@@ -96,6 +96,7 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(comp.values()))
     assert N.near_duplicates(df.limit(0)).count() == 0
     doubled = spark.createDataFrame([(1, "a b c", 0), (1, "a b c", 0), (None, "a b c", 0)], df.schema)
+    assert sorted(r.doc_id or 0 for r in N.keep_one(doubled).collect()) == [0, 1]
     assert sorted((r.doc_id or 0, r.n_near, r.component_id) for r in N.near_duplicates(doubled).collect()) == [(0, 2, 1), (1, 2, 1), (1, 2, 1)]
 
 
