@@ -18,6 +18,7 @@ import heapq
 import re
 import zlib
 from collections import defaultdict
+from itertools import chain
 from operator import add
 
 import numpy as np
@@ -32,7 +33,9 @@ MARK = "▁"
 #: Words up to this many code points are exploded; longer ones are folded where they are met.
 LONGEST = 48
 #: Words that a worker remembers before it starts afresh, and rows that it handles at once.
-REMEMBERED, SLICE = 300_000, 1000
+REMEMBERED, SLICE = 700_000, 1000
+#: Words that are cut at once.
+BULK = 20_000
 #: Distinct words of a task that folds lattices: their edges fit its memory.
 PART_WORDS = 25_000
 #: Characters below this number are found in an array.
@@ -54,6 +57,7 @@ class Pieces:
         self.bytes_of = {i: p.replace(MARK, " ").encode() for p, i, _ in rows} | {i: s.encode() for i, s in (specials or {}).items()}
         self.byte_of = {i: b for b, i in enumerate(byte_ids or [])}
         self.bytes_of |= {i: bytes([b]) for i, b in self.byte_of.items()}
+        self._beside: np.ndarray | None = None
         self.spelled = np.empty(max(self.bytes_of, default=0) + 1, object)
         for i, b in self.bytes_of.items():
             self.spelled[i] = b
@@ -78,15 +82,39 @@ class Pieces:
 
     def atoms(self, word: str) -> list[str]:
         """The parts of a word between neighbours that occur side by side in no piece."""
-        pairs, last, out = self.pairs, 0, []
-        if pairs.issuperset(map(add, word, word[1:])):
+        pairs = self.pairs
+        cuts = [i for i, x in enumerate(map(add, word, word[1:]), 1) if x not in pairs]
+        if not cuts:
             return [word]
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in pairs:
-                out.append(word[last:i])
-                last = i
-        out.append(word[last:])
-        return out
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
+    def atoms_of(self, words: list[str]) -> list[list[str]]:
+        """``atoms`` of many words at once: neighbours below 1024 are looked up in a square table, others one by one."""
+        if not words:
+            return []
+        if self._beside is None:
+            self._beside = np.zeros((1024, 1024), bool)
+            for x in self.pairs:
+                a, b = (1023 if c == MARK else ord(c) for c in x)
+                if max(a, b) < 1024:
+                    self._beside[a, b] = True
+        text = "".join(words)
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        odd = c == 1023
+        c = np.where(c == ord(MARK), 1023, c)
+        a, b = c[:-1], c[1:]
+        small = (np.maximum(a, b) < 1024) & ~odd[:-1] & ~odd[1:]
+        cut = np.zeros(len(c), bool)
+        cut[:-1][small] = ~self._beside[a[small], b[small]]
+        for i in np.flatnonzero(~small).tolist():
+            cut[i] = text[i : i + 2] not in self.pairs
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        cut[ends - 1] = True
+        stops = np.flatnonzero(cut) + 1
+        upto = np.searchsorted(stops, ends, "right").tolist()
+        stops = stops.tolist()
+        parts = [text[s:e] for s, e in zip([0, *stops[:-1]], stops, strict=True)]
+        return [parts[s:e] for s, e in zip([0, *upto[:-1]], upto, strict=True)]
 
     # ---- the folds in Python, for what isn't in a dictionary
 
@@ -287,6 +315,21 @@ class Speller:
         own = self.pieces.atoms(w)
         return self.atom(own[0]) if len(own) == 1 else b"".join(map(self.atom, own))
 
+    def prepare(self, texts: list[str | None]) -> None:
+        """Work out the new words of some texts together."""
+        new: set[str] = set()
+        for t in texts:
+            if self.pieces.prefix and t and _plain(t):
+                new.update(t.split(" "))
+        words = [w for w in new if w not in self.plain]
+        if len(self.plain) + len(words) > REMEMBERED:
+            self.plain.clear()
+            words = list(new)
+        for lo in range(0, len(words), BULK):
+            some = words[lo : lo + BULK]
+            for w, own in zip(some, self.pieces.atoms_of([MARK + w for w in some]), strict=True):
+                self.plain[w] = self.atom(own[0]) if len(own) == 1 else b"".join(map(self.atom, own))
+
     def text(self, t: str | None) -> np.ndarray:
         if not t:
             return np.empty(0, np.int32)
@@ -326,6 +369,7 @@ def _dictionaries(docs: DataFrame, pieces: Pieces, text_col: str) -> str:
         plain: set[str] = set()  # words after one mark, without it
         words: set[str] = set()
         atoms: set[str] = set()
+        waiting: list[str] = []  # words of plain that aren't cut yet
         for b in batches:
             for t in b.column(0).to_pylist():
                 if not t:
@@ -333,18 +377,21 @@ def _dictionaries(docs: DataFrame, pieces: Pieces, text_col: str) -> str:
                 if pieces.prefix and _plain(t):
                     new = set(t.split(" ")) - plain
                     plain |= new
-                    for w in new:
-                        atoms.update(pieces.atoms(MARK + w))
+                    waiting += new
                 else:
                     new = set(words_of(t, pieces.prefix)) - words
                     words |= new
                     for w in new:
                         atoms.update(pieces.atoms(w))
+                if len(waiting) > BULK:
+                    atoms.update(chain.from_iterable(pieces.atoms_of([MARK + w for w in waiting])))
+                    waiting = []
                 if len(plain) + len(words) > REMEMBERED:
                     plain, words = set(), set()
                 if len(atoms) > REMEMBERED:
                     yield send(chunk, atoms)
                     atoms = set()
+        atoms.update(chain.from_iterable(pieces.atoms_of([MARK + w for w in waiting])))
         if atoms:
             yield send(chunk, atoms)
 
@@ -430,7 +477,9 @@ def _assemble(docs: DataFrame, model: str, kind: str, text_col: str, schema, fin
             speller = speller or Speller(own, _load_dictionary(folder, TaskContext.get().partitionId()))
             for lo in range(0, whole.num_rows, SLICE):
                 b = whole.slice(lo, SLICE)
-                ids = [speller.text(t) for t in b.column(at).to_pylist()]
+                texts = b.column(at).to_pylist()
+                speller.prepare(texts)
+                ids = list(map(speller.text, texts))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield finish(own, b, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())))
 

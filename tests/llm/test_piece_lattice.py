@@ -26,10 +26,17 @@ def test_python_fold_equals_the_library(library):
     pieces = L.Pieces.load(PATH)
     s = L.Speller(pieces)
     for t in texts(random.Random(1), 1500):
+        s.prepare([t])
         assert s.text(t).tolist() == library.encode(t), repr(t)
         assert pieces.decode(library.encode(t)) == library.decode(library.encode(t)), repr(t)
 
 
+def test_words_are_cut_alike_one_by_one_and_together():
+    pieces = L.Pieces.load(PATH)
+    words = [w for t in texts(random.Random(7), 400) for w in L.words_of(t)] + ["\u03ffa", "a\u03ffb", "x", "é漢e"]
+    assert pieces.atoms_of(words) == [pieces.atoms(w) for w in words] and pieces.atoms_of([]) == []
+
+
 def test_lattice_fold_equals_the_library(spark, library):
     pieces = L.Pieces.load(PATH)
     words = {a for t in texts(random.Random(2), 300) + ["internationalisation dictionaries unfathomable Überraschung señor"] for w in L.words_of(t) for a in pieces.atoms(w) if len(a) <= L.LONGEST and "\0" not in a}
