@@ -7,13 +7,34 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import filesystem, materialize, shared_dir, ship
 
-__all__ = ["BROADCAST_LIMIT", "WORD", "filesystem", "global_row_number", "materialize", "parts_for", "shared_dir", "ship", "sized_join"]
+__all__ = ["BROADCAST_LIMIT", "WORD", "filesystem", "global_row_number", "materialize", "parts_for", "released", "shared_dir", "ship", "sized_join"]
 
 #: A join side is broadcast only when its measured size is below this many bytes.
 BROADCAST_LIMIT = 8 << 20
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+def released(run):
+    """A batch function that gives memory back to the system when its task ends: Python workers outlive their tasks, and what one stage's workers
+    hold on to counts against the next stage's."""
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return wrapped
+
+
 def parts_for(df: DataFrame) -> int:
     """Partitions that suit a shuffle of what ``df`` yields: the session's setting, but no fewer than its input has."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions(), 1)

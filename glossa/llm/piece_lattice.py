@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import filesystem, materialize, shared_dir, ship
+from .common import filesystem, materialize, released, shared_dir, ship
 
 MARK = "▁"
 #: Words up to this many code points are exploded; longer ones are folded where they are met.
 LONGEST = 48
 #: Words that a worker remembers before it starts afresh, and rows that it handles at once.
-REMEMBERED, SLICE = 700_000, 1000
+REMEMBERED, SLICE = 400_000, 1000
 #: Words that are cut at once.
 BULK = 20_000
 #: Distinct words of a task that folds lattices: their edges fit its memory.
@@ -399,7 +399,7 @@ def _dictionaries(docs: DataFrame, pieces: Pieces, text_col: str) -> str:
         own = [a for a in atoms if 1 < len(a) <= LONGEST and "\0" not in a]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk, np.int32)), pa.array(own, pa.string())], names=["chunk", "word"])
 
-    pairs = docs.select(F.col(text_col)).mapInArrow(distinct, "chunk int, word string")
+    pairs = docs.select(F.col(text_col)).mapInArrow(released(distinct), "chunk int, word string")
     # a word's list has at most one entry a partition of the documents
     vocabulary = materialize(pairs.groupBy("word").agg(F.collect_set("chunk").alias("chunks")), "vocabulary")
     encoded = encode_words(vocabulary, pieces)
@@ -434,7 +434,7 @@ def _dictionaries(docs: DataFrame, pieces: Pieces, text_col: str) -> str:
             yield flush()
 
     folder = shared_dir(spark, "spelling")
-    packed = vocabulary.join(encoded, "word").select("word", "chunks", "ids").mapInArrow(by_chunk, "chunk int, words string, sizes array<int>, ids binary")
+    packed = vocabulary.join(encoded, "word").select("word", "chunks", "ids").mapInArrow(released(by_chunk), "chunk int, words string, sizes array<int>, ids binary")
     packed.repartition("chunk").write.option("compression", "zstd").partitionBy("chunk").parquet(folder)
     return folder
 
@@ -483,7 +483,7 @@ def _assemble(docs: DataFrame, model: str, kind: str, text_col: str, schema, fin
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield finish(own, b, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def decode(encoded: DataFrame, model: str, kind: str = "bpe", ids_col: str = "ids", out: str = "decoded") -> DataFrame:
