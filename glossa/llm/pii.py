@@ -91,7 +91,7 @@ _INVISIBLE = "​‌‍⁠﻿­"
 _ODD = re.compile(f"[{''.join(map(re.escape, _GLYPHS))}{_INVISIBLE}]")
 _AT, _DOT = r"(?:at|ät|arroba|@)", r"(?:dot|d0t|punkt|punto|point|\.)"
 _TOKEN = re.compile(
-    rf"(?P<odd>[{''.join(map(re.escape, _GLYPHS))}{_INVISIBLE}])"
+    rf"(?P<odd>(?-i:[{''.join(map(re.escape, _GLYPHS))}{_INVISIBLE}]))"
     rf"|(?P<bat>[\x20\t]{{0,4}}[\[({{<]\s{{0,4}}{_AT}\s{{0,4}}[\])}}>][\x20\t]{{0,4}})|(?P<bdot>[\x20\t]{{0,4}}[\[({{<]\s{{0,4}}{_DOT}\s{{0,4}}[\])}}>][\x20\t]{{0,4}})"
     rf"|(?P<at>\x20{{1,4}}(?:at|arroba)\x20{{1,4}})|(?P<dot>\x20{{1,4}}(?:dot|punkt|punto)\x20{{1,4}})"
     rf"|(?P<plus>(?<![^\W_])plus\x20{{1,4}}(?=[0-9]|(?:{_NAMES})\b))"
@@ -99,12 +99,39 @@ _TOKEN = re.compile(
     re.IGNORECASE,
 )
 _NUM = re.compile(_NAMES, re.IGNORECASE)
-_DISGUISE = re.compile(rf"[\[({{<]\s{{0,4}}(?:at|ät|arroba|@|dot|d0t|punkt|punto|point|\.)\s{{0,4}}[\])}}>]|\x20(?:dot|punkt|punto)\x20|(?:{_NAMES})[\x20,-]{{1,2}}(?:{_NAMES})[\x20,-]{{1,2}}(?:{_NAMES})(?![^\W_])")
+_BRACKETED = re.compile(rf"[\[({{<]\s{{0,4}}(?:{_AT}|{_DOT})\s{{0,4}}[\])}}>]")
+_PLUS = re.compile(rf"plus\x20{{1,4}}(?:[0-9]|{_NAMES})")
+#: What ignoring case takes for an ASCII letter besides its two cases.
+_FOLDED = {"ſ": "s", "ı": "i", "İ": "i", "K": "k"}
+
+
+def _folded(text: str) -> str:
+    if not text.isascii():
+        for odd, plain in _FOLDED.items():
+            text = text.replace(odd, plain)
+    return text.lower()
+
+
+def _has_word(text: str, word: str) -> bool:
+    at = text.find(word)
+    while at >= 0:
+        if not text[at - 1 : at].isalnum() and not text[at + len(word) : at + len(word) + 1].isalnum():
+            return True
+        at = text.find(word, at + 1)
+    return False
 
 
 def suspicious(text: str) -> bool:
-    """Whether any transducer could lead to a span: a cheap test that spares plain texts the second pass."""
-    return (not text.isascii() and bool(_ODD.search(text))) or bool(_DISGUISE.search(text.lower()))
+    """Whether the text holds any replacement but a bare word for @, which alone never makes a span.
+
+    A superset of what _TOKEN matches, by tests that are cheap on plain texts.
+    """
+    if not text.isascii() and _ODD.search(text):
+        return True
+    low = _folded(text)
+    if " dot " in low or " punkt " in low or " punto " in low or any(_has_word(low, x) for x in _DIGIT):
+        return True
+    return bool(_BRACKETED.search(low)) or ("plus " in low and bool(_PLUS.search(low)))
 
 
 def normalise(text: str) -> tuple[str, list[tuple[int, int, int, int, str]]]:
@@ -116,7 +143,7 @@ def normalise(text: str) -> tuple[str, list[tuple[int, int, int, int, str]]]:
             new = _GLYPHS.get(m[0], "")
         elif rule == "num":
             names = _NUM.findall(m[0])
-            new = "".join(_DIGIT[x.lower()] for x in names)
+            new = "".join(_DIGIT[_folded(x)] for x in names)
         else:
             new = {"bat": "@", "at": "@", "bdot": ".", "dot": ".", "plus": "+"}[rule]
         s, e = m.span()

@@ -52,6 +52,26 @@ def test_disguises_are_found_at_their_source_offsets():
         assert want in spans(t), (t, spans(t))
 
 
+def test_a_single_disguise_is_enough():
+    for t, want in {
+        "call plus 44 20 7946 0958": ("phone", "plus 44 20 7946 0958"),
+        "call +1 555 two three 555 0199 now": ("phone", "+1 555 two three 555 0199"),
+        "card 4111 1111 1111 one one 11": ("card", "4111 1111 1111 one one 11"),
+        "card 4111 1111 1111 One 111": ("card", "4111 1111 1111 One 111"),
+        "mail i (at) example (dot) com": ("email", "i (at) example (dot) com"),  # i is no odd character, though it is one with ı where case is ignored
+    }.items():
+        assert spans(t) == [want], (t, spans(t))
+
+
+def test_the_test_for_disguises_misses_no_replacement():
+    rng = random.Random(6)
+    bits = [" ", " ", " ", ", ", "-", "_", "a", "é", "1", "+", "(", ")", "[", "]", "<", "@", ".", "plus", "at", "AT", "ät", "dot", "d0t", "Punkt", "punto", "one", "Two", "ſix", "fıve", "nİne", "oh", "phone", "е", "\u200b", "\n", "\t"]
+    for _ in range(30000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(9)))
+        assert pii.suspicious(t) or all(e[4] == "at" for e in pii.normalise(t)[1]), t
+        pii.scan(t)
+
+
 def test_prose_is_left_alone():
     for t in ("look at example.com for one two three reasons", "He sat at the dot, at last", "one, two, three, four. Meet at 5.", "été à l'école (at home)", "", "привет мир"):
         assert spans(t) == []
