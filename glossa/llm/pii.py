@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,14 +38,19 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def emails(text: str) -> list[tuple[int, int]]:
-    """Leftmost non-overlapping addresses; works outward from each @, so that it is linear in the text."""
+def emails(text: str, wanted: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping addresses; works outward from each @, so that it is linear in the text.
+
+    After an address that isn't wanted, by its start and end, the search goes on behind its @.
+    """
     out, floor, at = [], 0, text.find("@")
     while at >= 0:
         start = at
         while start > floor and text[start - 1] in _LOCAL:
             start -= 1
         m = _DOMAIN.match(text, at) if start < at else None
+        if m and wanted and not wanted(start, m.end()):
+            m = None
         if m:
             out.append((start, m.end()))
         floor = m.end() if m else at + 1
@@ -90,19 +96,26 @@ for _base, _first in ((0x1D400, "A"), (0x1D41A, "a"), (0x1D5A0, "A"), (0x1D5BA,
 _INVISIBLE = "​‌‍⁠﻿­"
 _ODD = re.compile(f"[{''.join(map(re.escape, _GLYPHS))}{_INVISIBLE}]")
 _AT, _DOT = r"(?:at|ät|arroba|@)", r"(?:dot|d0t|punkt|punto|point|\.)"
-_TOKEN = re.compile(
-    rf"(?P<odd>(?-i:[{''.join(map(re.escape, _GLYPHS))}{_INVISIBLE}]))"
-    rf"|(?P<bat>[\x20\t]{{0,4}}[\[({{<]\s{{0,4}}{_AT}\s{{0,4}}[\])}}>][\x20\t]{{0,4}})|(?P<bdot>[\x20\t]{{0,4}}[\[({{<]\s{{0,4}}{_DOT}\s{{0,4}}[\])}}>][\x20\t]{{0,4}})"
-    rf"|(?P<at>\x20{{1,4}}(?:at|arroba)\x20{{1,4}})|(?P<dot>\x20{{1,4}}(?:dot|punkt|punto)\x20{{1,4}})"
-    rf"|(?P<plus>(?<![^\W_])plus\x20{{1,4}}(?=[0-9]|(?:{_NAMES})\b))"
-    rf"|(?P<num>(?<![^\W_])(?:{_NAMES})(?:(?:\x20|-|,\x20)(?:{_NAMES}))*(?![^\W_]))",
-    re.IGNORECASE,
-)
+
+
+def _tokens(at: str) -> re.Pattern:
+    return re.compile(
+        rf"(?P<odd>(?-i:[{''.join(map(re.escape, _GLYPHS))}{_INVISIBLE}]))"
+        rf"|(?P<bat>[\x20\t]{{0,4}}[\[({{<]\s{{0,4}}{_AT}\s{{0,4}}[\])}}>][\x20\t]{{0,4}})|(?P<bdot>[\x20\t]{{0,4}}[\[({{<]\s{{0,4}}{_DOT}\s{{0,4}}[\])}}>][\x20\t]{{0,4}})"
+        rf"{at}|(?P<dot>\x20{{1,4}}(?:dot|punkt|punto)\x20{{1,4}})"
+        rf"|(?P<plus>(?<![^\W_])plus\x20{{1,4}}(?=[0-9]|(?:{_NAMES})\b))"
+        rf"|(?P<num>(?<![^\W_])(?:{_NAMES})(?:(?:\x20|-|,\x20)(?:{_NAMES}))*(?![^\W_]))",
+        re.IGNORECASE,
+    )
+
+
+#: Without and with the bare word for @.
+_TOKEN, _TOKEN_AT = _tokens(""), _tokens(r"|(?P<at>\x20{1,4}(?:at|arroba)\x20{1,4})")
 _NUM = re.compile(_NAMES, re.IGNORECASE)
 _BRACKETED = re.compile(rf"[\[({{<]\s{{0,4}}(?:{_AT}|{_DOT})\s{{0,4}}[\])}}>]")
 _PLUS = re.compile(rf"plus\x20{{1,4}}(?:[0-9]|{_NAMES})")
 #: What ignoring case takes for an ASCII letter besides its two cases.
-_FOLDED = {"ſ": "s", "ı": "i", "İ": "i", "K": "k"}
+_FOLDED = {"ſ": "s", "ı": "i", "İ": "i", "\u212a": "k"}
 
 
 def _folded(text: str) -> str:
@@ -134,10 +147,13 @@ def suspicious(text: str) -> bool:
     return bool(_BRACKETED.search(low)) or ("plus " in low and bool(_PLUS.search(low)))
 
 
-def normalise(text: str) -> tuple[str, list[tuple[int, int, int, int, str]]]:
-    """The normalised text and its replacements (start and end in it, start and end in the source, rule)."""
+def normalise(text: str, bare_at: bool = True) -> tuple[str, list[tuple[int, int, int, int, str]]]:
+    """The normalised text and its replacements (start and end in it, start and end in the source, rule).
+
+    bare_at: whether the word ``at`` alone is one.
+    """
     out, edits, size, last = [], [], 0, 0
-    for m in _TOKEN.finditer(text):
+    for m in (_TOKEN_AT if bare_at else _TOKEN).finditer(text):
         rule = m.lastgroup
         if rule == "odd":
             new = _GLYPHS.get(m[0], "")
@@ -156,35 +172,68 @@ def normalise(text: str) -> tuple[str, list[tuple[int, int, int, int, str]]]:
     return "".join(out), edits
 
 
+class _Normalised:
+    """A normalised text whose offsets lead back to the source."""
+
+    def __init__(self, text: str, bare_at: bool) -> None:
+        self.text, self.edits = normalise(text, bare_at)
+        self.starts, self.ends = [e[0] for e in self.edits], [e[1] for e in self.edits]
+
+    def rules(self, s: int, e: int) -> set[str]:
+        """The rules of the replacements that a span owes something to."""
+        return {x[4] for x in self.edits[bisect.bisect_left(self.ends, s + 1) : bisect.bisect_left(self.starts, e)]}
+
+    def offset(self, i: int, end: bool) -> int:
+        """Where the normalised offset i lies; inside a replacement, at its near or far edge."""
+        edits = self.edits
+        j = bisect.bisect_left(self.starts, i) - 1  # the last edit that begins before i
+        if j >= 0 and i < self.ends[j]:
+            return edits[j][3] if end else edits[j][2]
+        if not end and (k := bisect.bisect_right(self.starts, i) - 1) >= 0 and edits[k][0] <= i < edits[k][1]:
+            return edits[k][2]
+        return i if j < 0 else edits[j][3] + i - self.ends[j]
+
+    def source(self, s: int, e: int) -> tuple[int, int]:
+        return self.offset(s, False), self.offset(e, True)
+
+
 def added_spans(text: str, base: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
     """Spans by kind that only show in the normalised text, as source offsets.
 
-    An address joined by a bare word for @ needs a disguised dot too (``look at example.com`` is prose, ``ann at example dot com`` is not).
+    Bare words for @ are undone last, for addresses in what is left: a word before a disguised address isn't its local part (``me at john.doe (at)
+    example (dot) com``). An address joined by one needs a disguised dot too (``look at example.com`` is prose, ``ann at example dot com`` is not), and of
+    two that share their middle the second is taken if its domain has one (``me at ann dot lee at example dot com``).
     """
     found: list[list[tuple[int, int]]] = [[], [], [], []]
     if not suspicious(text):
         return found
-    norm, edits = normalise(text)
-    starts, ends = [e[0] for e in edits], [e[1] for e in edits]
 
-    def source(i: int, end: bool) -> int:
-        """Where the normalised offset i lies; inside a replacement, at its near or far edge."""
-        j = bisect.bisect_left(starts, i) - 1  # the last edit that begins before i
-        if j >= 0 and i < ends[j]:
-            return edits[j][3] if end else edits[j][2]
-        if not end and (k := bisect.bisect_right(starts, i) - 1) >= 0 and edits[k][0] <= i < edits[k][1]:
-            return edits[k][2]
-        return i if j < 0 else edits[j][3] + i - ends[j]
+    def free(kind: int, a: int, b: int) -> bool:
+        taken = found[kind]
+        i = bisect.bisect_left(taken, (b,))  # ascending and apart, so only the one before b can overlap
+        return (not i or taken[i - 1][1] <= a) and not any(x < b and a < y for x, y in base[kind])
 
+    norm = _Normalised(text, False)
     for kind, finder in enumerate(_FINDERS):
-        for s, e in finder(norm):
-            inside = edits[bisect.bisect_left(ends, s + 1) : bisect.bisect_left(starts, e)]
-            rules = {x[4] for x in inside}
-            if not rules or (kind == 0 and "at" in rules and not rules & {"dot", "bdot"}):
-                continue
-            a, b = source(s, False), source(e, True)
-            if not any(x < b and a < y for x, y in base[kind]):
-                found[kind].append((a, b))
+        for s, e in finder(norm.text):
+            if norm.rules(s, e):
+                a, b = norm.source(s, e)
+                if free(kind, a, b):
+                    found[kind].append((a, b))
+    dots = {"dot", "bdot"}
+    if not any(x[4] in dots for x in norm.edits):
+        return found
+    norm = _Normalised(text, True)
+
+    def wanted(s: int, e: int) -> bool:
+        rules = norm.rules(s, e)
+        if "at" not in rules or not rules & dots or not free(0, *norm.source(s, e)):
+            return False
+        after = _DOMAIN.match(norm.text, e)
+        return not (after and norm.rules(*after.span()) & dots)
+
+    more = [norm.source(s, e) for s, e in emails(norm.text, wanted)]
+    found[0] = sorted(found[0] + more)
     return found
 
 

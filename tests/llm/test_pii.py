@@ -72,6 +72,19 @@ def test_the_test_for_disguises_misses_no_replacement():
         pii.scan(t)
 
 
+def test_a_word_for_at_before_an_address_is_not_part_of_it():
+    for t, want in {
+        "reach me at john.doe (at) example (dot) com": "john.doe (at) example (dot) com",
+        "reach me at john.doe＠example.com": "john.doe＠example.com",
+        "reach me at john.doe at example dot com": "john.doe at example dot com",
+        "reach me at ann dot lee at example dot com": "ann dot lee at example dot com",
+        "ask ann at example dot com at our.site": "ann at example dot com",
+    }.items():
+        assert spans(t) == [("email", want)], (t, spans(t))
+    t = "look at a.org, or ask bob at b dot net, at ann.lee (at) c (dot) org or at d.e@f.com"
+    assert [x for _, x in spans(t)] == ["bob at b dot net", "ann.lee (at) c (dot) org", "d.e@f.com"]
+
+
 def test_prose_is_left_alone():
     for t in ("look at example.com for one two three reasons", "He sat at the dot, at last", "one, two, three, four. Meet at 5.", "été à l'école (at home)", "", "привет мир"):
         assert spans(t) == []
