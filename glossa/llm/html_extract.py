@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +29,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 _SUB = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 JUNK = frozenset(
     "ad ads adbox adslot adunit advert adverts advertisement advertising banner banners sponsor sponsored promo promos promotion cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup share sharing shares social "
-    "sidebar side widget widgets related recommended recommendations comment comments commentlist disqus respond reply replies breadcrumb breadcrumbs pagination pager menu nav navbar navigation toolbar masthead footer copyright login search skip hidden alert "
+    "sidebar side widget widgets related recommended recommendations comment comments commentlist disqus respond reply replies breadcrumb breadcrumbs pagination pager menu nav navbar navigation toolbar masthead footer copyright login search skip alert "
     "toc outbrain taboola disclaimer teaser teasers trending popular form forms".split()
 )
 GOOD = frozenset("article content entry main post story text body".split())
+#: Of these, what names layout as often as it names content; a subtree of such a class stays if it holds most of the running text.
+LAYOUT = frozenset("sidebar side widget widgets overlay modal popup banner banners notice notices social share sharing shares menu nav navbar navigation toolbar masthead search form forms skip alert teaser teasers promo promos promotion toc".split())
+HIDDEN = frozenset("hidden is-hidden visually-hidden".split())
 NEGATED = frozenset("no has with without is not hide".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 _DIGITS = re.compile(r"\d+")
@@ -41,18 +45,30 @@ MIN_SHARE = 0.1
 DEEPEST = 64
 
 
-def _junk(attrs: dict[str, str], tag: str) -> bool:
+def _junk(attrs: dict[str, str], tag: str) -> str:
+    """Why a subtree doesn't belong to the article: ``sure``, or by its class alone ``layout`` or ``named``; empty if it may."""
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower() or attrs.get("role", "").lower() in ROLES:
-        return True
+        return "sure"
+    why = ""
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
         sub = [x.lower() for x in _SUB.findall(name)]
-        if not sub or sub[0] in NEGATED or tag in ("body", "html", "main"):
+        if not sub or sub[0] in NEGATED - {"is"} or tag in ("body", "html", "main"):
             continue
         if tag == "article" and sub[0] not in ("comment", "ad", "advert", "teaser", "related", "promo", "sponsored"):
             continue
-        if sub[0] in JUNK or sub[-1] in JUNK:
-            return True
-    return False
+        if name.lower() in HIDDEN:  # only by its whole name: overflow-hidden and hidden-xs are shown
+            why = why or "layout"
+        words = {sub[0]} if len(sub) > 1 and sub[-2] in NEGATED else {sub[0], sub[-1]}  # content-with-sidebar is none
+        if sub[0] != "is" and (words := words & JUNK):
+            if words - LAYOUT:
+                return "named"
+            why = "layout"
+    return why
+
+
+def _running(s: str, linked: int) -> bool:
+    """Whether a block is running text."""
+    return len(s) >= 25 and linked < 0.4 * len(s)
 
 
 class Page:
@@ -63,8 +79,10 @@ class Page:
     def __init__(self, html: str) -> None:
         self.paths, self.parent, self.weight, self.last = ["html"], [-1], [0.1], [0]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
-        stack: list[tuple[str, int, bool]] = []  # tag, container outside of it, whether what is outside counts
-        node, counts, link, linked, text = 0, True, 0, 0, []
+        stack: list[tuple[str, int, bool, int]] = []  # tag, container outside of it, whether what is outside counts, suspect outside of it
+        node, counts, link, linked, text, suspect = 0, True, 0, 0, [], 0
+        suspects: list[tuple[int, str]] = [(-1, "")]  # subtrees that are junk by their class alone: the one outside, why
+        within: list[int] = []  # the suspect of each block
         pos, n = 0, len(html)
 
         def flush() -> None:
@@ -72,6 +90,7 @@ class Page:
             if text:
                 if s := " ".join("".join(text).split()):
                     self.blocks.append((node, s, linked))
+                    within.append(suspect)
                 text.clear()
             linked = 0
 
@@ -112,7 +131,7 @@ class Page:
             if name in VOID:
                 continue
             if closing:
-                if name not in CONTAINERS and name not in OUT and not any(t == name for t, _, _ in stack):
+                if name not in CONTAINERS and name not in OUT and not any(t == name for t, *_ in stack):
                     continue
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
@@ -121,21 +140,25 @@ class Page:
                         while node != new[1]:
                             self.last[node] = len(self.paths) - 1
                             node = self.parent[node]
-                        counts, link = new[2], 0
+                        counts, suspect, link = new[2], new[3], 0
                         break
                 continue
             while stack and stack[-1][0] == "p":  # a block ends an open paragraph
-                _, _, counts = stack.pop()
+                _, _, counts, suspect = stack.pop()
             container = name in CONTAINERS
-            if name == "html" or (name == "body" and any(t == "body" for t, _, _ in stack)):
+            if name == "html" or (name == "body" and any(t == "body" for t, *_ in stack)):
                 continue
             attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(rest)} if rest and not rest.isspace() else {}
-            out = (name in OUT and (name != "header" or not any(t in ("article", "main") for t, _, _ in stack))) or (bool(attrs) and _junk(attrs, name))
-            if not container and not out:
+            why = _junk(attrs, name) if attrs else ""
+            out = (name in OUT and (name != "header" or not any(t in ("article", "main") for t, *_ in stack))) or why == "sure"
+            if not container and not out and not why:
                 continue  # paragraphs and the like only part blocks
-            stack.append((name, node, counts))
+            stack.append((name, node, counts, suspect))
             if out:
                 counts = False
+            elif why and counts:
+                suspects.append((suspect, why))
+                suspect = len(suspects) - 1
             if container and counts:
                 classes = sorted({_DIGITS.sub("#", x.lower()) for x in attrs.get("class", "").split()})
                 sub = {x.lower() for x in _SUB.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
@@ -150,28 +173,71 @@ class Page:
         while node >= 0:
             self.last[node] = len(self.paths) - 1
             node = self.parent[node]
+        if any(within):
+            self._drop(suspects, within)
 
-    def scores(self) -> list[float]:
-        """Characters of running text in each container, short or linked blocks counting against it, times its tag's weight."""
+    def _drop(self, suspects: list[tuple[int, str]], within: list[int]) -> None:
+        """Drop the blocks in suspects, less those that are wrappers of the article.
+
+        Each is held against its scope, the page or the suspect named by its content that it lies in, without what is in other such ones: layout stays if it
+        holds most of the scope's text, of the others the largest stays if the scope has no text but theirs. Text is running text, and all of marked containers.
+        """
+        n = len(suspects)
+        marked = [False] * len(self.paths)
+        for i in range(1, len(marked)):
+            marked[i] = self.weight[i] >= 1.5 or marked[self.parent[i]]
+        total, scope = [0] * n, [0] * n
+        for (c, s, linked), i in zip(self.blocks, within, strict=True):
+            total[i] += len(s) * (_running(s, linked) or marked[c])
+        rest = total[:]
+        for i in range(n - 1, 0, -1):
+            outside, why = suspects[i]
+            total[outside] += total[i]
+            if why == "layout":
+                rest[outside] += rest[i]
+        for i in range(1, n):
+            outside = suspects[i][0]
+            scope[i] = outside if not outside or suspects[outside][1] == "named" else scope[outside]
+        largest: dict[int, int] = {}
+        for i in range(1, n):
+            if suspects[i][1] == "named" and total[i] > total[largest.get(scope[i], 0)] * (scope[i] in largest):
+                largest[scope[i]] = i
+        stays = [True] * n
+        for i in range(1, n):
+            outside, why = suspects[i]
+            all_ = rest[scope[i]]
+            own = 2 * rest[i] > all_ if why == "layout" and all_ else not all_ and (why == "layout" and total[i] > 0 or largest.get(scope[i]) == i)
+            stays[i] = stays[outside] and own
+        self.blocks = [b for b, i in zip(self.blocks, within, strict=True) if stays[i]]
+
+    def _sums(self, of: Callable[[str, int], float]) -> list[float]:
+        """The sum of what each container's blocks count for."""
         own = [0.0] * len(self.paths)
         for c, s, linked in self.blocks:
-            long = len(s) >= 25 and linked < 0.4 * len(s)
-            own[c] += len(s) if long else -0.3 * min(len(s), 80)
+            own[c] += of(s, linked)
         for i in range(len(own) - 1, 0, -1):
             own[self.parent[i]] += own[i]
+        return own
+
+    def scores(self) -> list[float]:
+        """Characters of running text in each container, short or linked blocks counting against it, times its tag's weight."""
+        own = self._sums(lambda s, linked: len(s) if _running(s, linked) else -0.3 * min(len(s), 80))
         return [x * w if x > 0 else x for x, w in zip(own, self.weight, strict=True)]
 
     def best(self, paths: set[str] | None = None) -> int:
         """The container of the highest score (the innermost of equals), among those at the given paths if there are any; -1 if none has text."""
-        s = self.scores()
-        top = max(range(len(s)), key=lambda i: (s[i], i))
+        if not self.blocks:
+            return -1
+        s, total = self.scores(), self._sums(lambda s, linked: len(s))
+        full = [i for i, n in enumerate(total) if n]
+        top = max(full, key=lambda i: (s[i], i))
         if paths:
-            at = [i for i, p in enumerate(self.paths) if p in paths]
+            at = [i for i in full if self.paths[i] in paths]
             if at:
                 own = max(at, key=lambda i: (s[i], i))
                 if s[own] >= 0.5 * s[top]:  # a path the host elected, but not where this page keeps its text elsewhere
                     top = own
-        return top if self.blocks else -1
+        return top
 
     def text(self, container: int) -> str:
         if container < 0:

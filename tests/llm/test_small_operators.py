@@ -195,6 +195,19 @@ def test_main_text(container):
     assert html_extract.extract_one(PAGE % (container % BODY)) == WANT
 
 
+@pytest.mark.parametrize("wrapper", ['div class="overflow-hidden"', 'div class="elementor-widget"', 'section class="content-with-sidebar"', 'div class="modal-open page"', 'div class="hidden-xs"', 'div class="promo"', 'div class="related-wrap"'])
+def test_a_wrapper_of_the_article_is_not_junk(wrapper):
+    assert html_extract.extract_one(PAGE % f"<{wrapper}><article>{BODY}</article></{wrapper.split()[0]}>") == WANT
+
+
+def test_junk_by_class_stays_out_beside_an_article():
+    story = "The story of the day is told here, in a few words."
+    for junk in ("comments", "related-posts", "cookie-consent"):
+        assert html_extract.extract_one(f'<div><p>{story}</p><div class="{junk}"><p>{"It is longer than what it stands beside. " * 9}</p></div></div>') == story
+    for junk in ("widget", "hidden", "sidebar-left"):
+        assert html_extract.extract_one(f'<div><p>{story}</p><div class="{junk}"><p>It is shorter than what it stands by.</p></div></div>') == story
+
+
 def test_broken_pages():
     for h, want in ((None, ""), ("", ""), ("plain text", "plain text"), ("a < b", "a < b"), ("<p>x", "x"), ("<p>x<p", "x"), ("x <!-- open", "x"), ("<div>", ""), ("&amp;&am", "&&am"), ("<script>x", ""), ("</div></p>x", "x")):
         assert html_extract.extract_one(h) == want, h
