@@ -220,25 +220,49 @@ class Page:
         return own
 
     def scores(self) -> list[float]:
-        """Characters of running text in each container, short or linked blocks counting against it, times its tag's weight."""
-        own = self._sums(lambda s, linked: len(s) if _running(s, linked) else -0.3 * min(len(s), 80))
-        return [x * w if x > 0 else x for x, w in zip(own, self.weight, strict=True)]
+        """Characters of running text in each container, linked blocks counting against it, times its tag's weight; none is negative."""
+        own = self._sums(lambda s, linked: len(s) if _running(s, linked) else -0.3 * min(len(s), 80) if linked >= 0.4 * len(s) else 0)
+        return [max(0.0, x) * w for x, w in zip(own, self.weight, strict=True)]
 
     def best(self, paths: set[str] | None = None) -> int:
-        """The container of the highest score (the innermost of equals), among those at the given paths if there are any; -1 if none has text."""
+        """The container of the highest score, among those at the given paths if there are any; -1 if none has text.
+
+        Only containers with text count. Of equals it is the innermost, but where nothing runs the one with most text outside of links, then with
+        most text, by its tag's weight. Without a path it gives way to a container around it that holds more by that measure, unless what that adds is
+        a list of links or under 25 characters.
+        """
         if not self.blocks:
             return -1
         s, total = self.scores(), self._sums(lambda s, linked: len(s))
+        free = self._sums(lambda s, linked: len(s) if linked < 0.4 * len(s) else 0)
         full = [i for i, n in enumerate(total) if n]
-        top = max(full, key=lambda i: (s[i], i))
+        weight = [max(0.6, w) for w in self.weight]  # a page need not have a body tag
+        mass = [n * w for n, w in zip(free, weight, strict=True)]
+
+        def key(i: int) -> tuple[float, ...]:
+            return (s[i], 0, 0, i) if s[i] > 0 else (0, mass[i], total[i] * weight[i], i)
+
+        top = self._widened(max(full, key=key), total, free, mass)
         if paths:
             at = [i for i in full if self.paths[i] in paths]
             if at:
-                own = max(at, key=lambda i: (s[i], i))
-                if s[own] >= 0.5 * s[top]:  # a path the host elected, but not where this page keeps its text elsewhere
+                own = max(at, key=key)
+                if s[own] >= 0.5 * s[top] and mass[own] >= 0.5 * mass[top]:  # a path the host elected, but not where this page keeps its text elsewhere
                     top = own
         return top
 
+    def _widened(self, top: int, total: list[float], free: list[float], mass: list[float]) -> int:
+        up = self.parent[top]
+        while up >= 0:
+            added = total[up] - total[top]
+            if added >= 25:
+                if free[up] - free[top] <= 0.6 * added:
+                    break
+                if mass[up] > mass[top]:
+                    top = up
+            up = self.parent[up]
+        return top
+
     def text(self, container: int) -> str:
         if container < 0:
             return ""

@@ -208,6 +208,23 @@ def test_junk_by_class_stays_out_beside_an_article():
         assert html_extract.extract_one(f'<div><p>{story}</p><div class="{junk}"><p>It is shorter than what it stands by.</p></div></div>') == story
 
 
+def test_short_blocks_are_kept():
+    intro = "This is how it begins, with a paragraph that is long enough to be taken for running text by all means."
+    items = "".join(f"<li>Item of number {i:04}</li>" for i in range(30))
+    plain = " ".join(f"Item of number {i:04}" for i in range(30))
+    links = re.sub("<li>(.*?)</li>", r"<li><a href=x>\1</a></li>", items)
+    for h, want in (
+        ('<article><p>Sold out.</p></article><div id="root"></div>', "Sold out."),
+        ("<div>Sold out</div><div>Back soon</div>", "Sold out Back soon"),
+        (f"<div><div><p>{intro}</p></div><div><ul>{items}</ul></div></div>", f"{intro} {plain}"),
+        (f"<div><div><p>{intro}</p></div><ul>{items}</ul></div>", f"{intro} {plain}"),
+        (f"<div><div><div>{intro}</div></div><div>By Ann</div></div><div>{items.replace('li>', 'p>')}</div>", f"{intro} By Ann {plain}"),
+        (f"<div><div><p>{intro}</p></div><div><ul>{links}</ul></div></div>", intro),
+    ):
+        assert html_extract.extract_one(h) == want, h
+    assert html_extract.extract_one(f'<div class="a"><div class="b"><p>{intro}</p></div><ul>{items}</ul></div>', ["html>div.a>div.b"]) == f"{intro} {plain}"
+
+
 def test_broken_pages():
     for h, want in ((None, ""), ("", ""), ("plain text", "plain text"), ("a < b", "a < b"), ("<p>x", "x"), ("<p>x<p", "x"), ("x <!-- open", "x"), ("<div>", ""), ("&amp;&am", "&&am"), ("<script>x", ""), ("</div></p>x", "x")):
         assert html_extract.extract_one(h) == want, h
