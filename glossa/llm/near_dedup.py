@@ -266,6 +266,12 @@ def near_duplicates(docs: DataFrame, distance: int = 3, limit: int = LEAVES, id_
     repeat an id count each; a null id stays null and is passed over as the smallest. An empty table gives an empty result. Copies of one
     fingerprint are one leaf whatever their number, so a group of copies that holds a third of all rows costs as much as one row.
     """
+    text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return _spread(*_classes(docs, distance, limit, id_col, text_col)).select("doc_id", text.alias("fingerprint"), "n_near", "component_id")
+
+
+def _classes(docs: DataFrame, distance: int, limit: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id and fp of every row; fp, n_near, component_id and root of every fingerprint. Components may share a component_id, not a root."""
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     leaves = materialize(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "leaves")
     found = links(leaves.select("fp", "n"), distance, limit)
@@ -274,28 +280,41 @@ def near_duplicates(docs: DataFrame, distance: int = 3, limit: int = LEAVES, id_
     named = leaves.join(near, "fp", "left").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialize(named.select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n_near"), "root", "first"), "named")
     roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    per = materialize(named.join(roots, "root").select("fp", "n_near", "component_id"), "classes")
-    return _spread(fps, per)
+    return fps, materialize(named.join(roots, "root").select("fp", "n_near", "component_id", "root"), "classes")
 
 
 def _spread(fps: DataFrame, per: DataFrame) -> DataFrame:
     """Join what holds for a fingerprint to its rows; a hot one is met 32 times so that its rows needn't share a task."""
     salted = fps.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int"))
     copies = per.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return salted.join(copies, ["fp", "_s"]).select("doc_id", text.alias("fingerprint"), "n_near", "component_id")
+    return salted.join(copies, ["fp", "_s"]).drop("_s")
 
 
 def keep_one(docs: DataFrame, distance: int = 3, limit: int = LEAVES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` less all but one of each component: the one of the smallest id stays, with all its columns.
 
-    Where rows repeat an id, the one whose text has the smallest hash stays. Rows without an id are kept. What is joined is the ids that
-    go, fewer than those that stay; only if they exceed the broadcast limit of the session are the rows shuffled, once, by id.
+    Where rows of a component repeat that id, the one whose text has the smallest hash stays; rows of one id in several components are decided on in each. Rows
+    without an id are kept. What is joined is the ids that go, fewer than those that stay; only if they exceed the broadcast limit of the session are the
+    rows shuffled, once, by id. Rows whose id repeats are fingerprinted again and joined by id and fingerprint.
     """
-    classes = near_duplicates(docs, distance, limit, id_col, text_col)
-    gone = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    d = docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
-    if classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-        d = d.withColumn("_first", first).where((F.col("_first") == 1) | F.col(id_col).isNull()).drop("_first")
-    return d
+    fps, per = _classes(docs, distance, limit, id_col, text_col)
+    rows = _spread(fps, per)
+    repeated = materialize(fps.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "repeated")
+    several = repeated.limit(1).count() > 0
+    gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    gone = materialize((gone.unionByName(repeated) if several else gone).distinct(), "gone")
+    here = F.col(id_col) == F.col("_id")
+    d = docs.join(gone, here, "left_anti")
+    if not several:
+        return d
+    heads = rows.where("doc_id = component_id").join(repeated, F.col("doc_id") == F.col("_id"), "left_semi")
+    heads = materialize(heads.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_head"), F.col("root").alias("_root")).distinct(), "heads")
+
+    @F.arrow_udf("long")
+    def fp(t: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(x) for x in t.to_pylist()], np.uint64).view(np.int64))
+
+    first = F.row_number().over(Window.partitionBy("_id", "_root").orderBy(F.xxhash64(text_col)))
+    again = docs.join(repeated, here, "left_semi").withColumn("_fp", fp(F.col(text_col)))
+    again = again.join(heads, here & (F.col("_fp") == F.col("_head"))).withColumn("_first", first).where("_first = 1")
+    return d.unionByName(again.select(*docs.columns))

@@ -100,6 +100,14 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted((r.doc_id or 0, r.n_near, r.component_id) for r in N.near_duplicates(doubled).collect()) == [(0, 2, 1), (1, 2, 1), (1, 2, 1)]
 
 
+def test_rows_of_one_id_are_decided_on_in_each_component(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(1, texts[0], 0), (5, texts[0], 1), (5, texts[1], 2), (7, texts[2], 3), (7, texts[3], 4), (7, texts[3], 4), (9, texts[3], 5), (None, texts[0], 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_near long").repartition(3)
+    assert sorted(r.n_near for r in N.keep_one(df).collect()) == [0, 2, 3, 4, 6]
+    assert N.keep_one(df).columns == df.columns
+
+
 def test_components_of_a_long_chain(spark):
     rng = random.Random(5)
     ids = rng.sample(range(-5000, 5000), 300)
