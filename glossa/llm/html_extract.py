@@ -2,6 +2,9 @@
 
 Each page's containers are scored; Spark counts, host by host, how many pages elect which generalised tag-class path; then every
 page is extracted again from the container that lies at a winning path of its host, or from its own best one where it has none.
+
+Formulas (``math``, less their annotations) and the fallback text of ``object`` and ``noscript`` are text like any other; what is in scripts, styles, frames, text
+fields, ``template``, ``svg`` and ``select`` is not.
 """
 
 from __future__ import annotations
@@ -18,8 +21,10 @@ from .common import materialize, ship, sized_join
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|(?P<loose>/?[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.DOTALL)
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
-#: Their content is no markup.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes template noscript svg math select object".split())
+#: Their content is no markup; without an end tag it reaches to the end of the page.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Content that isn't shown as text of the page; without an end tag only the tag is passed over.
+SKIPPED = frozenset("template svg select annotation annotation-xml".split())
 #: Containers that can be the article.
 CONTAINERS = frozenset("html body main article section div td center blockquote fieldset details".split())
 #: Subtrees that never belong to it.
@@ -84,6 +89,7 @@ class Page:
         suspects: list[tuple[int, str]] = [(-1, "")]  # subtrees that are junk by their class alone: the one outside, why
         within: list[int] = []  # the suspect of each block
         pos, n = 0, len(html)
+        unended: set[str] = set()
 
         def flush() -> None:
             nonlocal linked
@@ -122,9 +128,11 @@ class Page:
             if name == "a":
                 link = 0 if closing else 1
             if name not in BLOCKS:
-                if not closing and name in RAW and not rest.endswith("/"):
+                if not closing and (name in RAW or name in SKIPPED) and not rest.endswith("/") and name not in unended:
                     e = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, pos)
-                    pos = e.end() if e else n
+                    if not e:
+                        unended.add(name)  # nor is there one further on
+                    pos = e.end() if e else n if name in RAW else pos
                     text.append(" ")
                 continue
             flush()

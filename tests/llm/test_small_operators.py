@@ -225,6 +225,18 @@ def test_short_blocks_are_kept():
     assert html_extract.extract_one(f'<div class="a"><div class="b"><p>{intro}</p></div><ul>{items}</ul></div>', ["html>div.a>div.b"]) == f"{intro} {plain}"
 
 
+def test_formulas_and_fallback_text_are_kept():
+    for h, want in (
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds", "so x=1 holds"),
+        ("<p>a <object data=x><p>the text instead</p></object>b", "a the text instead b"),
+        ("<p>a <noscript>the text instead</noscript> b", "a the text instead b"),
+        ("<p>a <svg> b <select> c <template> d", "a b c d"),
+        ("<p>a <svg><text>no</text></svg> b <script> c", "a b"),
+    ):
+        assert html_extract.extract_one(h) == want, h
+    assert len(html_extract.extract_one("<svg>" * 100_000 + "x")) == 1
+
+
 def test_broken_pages():
     for h, want in ((None, ""), ("", ""), ("plain text", "plain text"), ("a < b", "a < b"), ("<p>x", "x"), ("<p>x<p", "x"), ("x <!-- open", "x"), ("<div>", ""), ("&amp;&am", "&&am"), ("<script>x", ""), ("</div></p>x", "x")):
         assert html_extract.extract_one(h) == want, h
