@@ -127,7 +127,7 @@ class Reader:
 
 # ---- encoding
 
-_cache: dict[str, object] = {}
+_cache: dict[tuple[str, bool], object] = {}
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+\Z")
 _KNOWN = re.compile(rf" ?[{_LETTERS}0-9{_MARKS}]+(?:\n[{_LETTERS}0-9{_MARKS}]+)*\Z")
@@ -163,14 +163,17 @@ class Encoder:
 
     The pre-tokenizer's pattern never matches across the place before a single space between two others, so a text may be cut there and
     the pieces encoded each by itself. Where a word has only Latin letters, digits, ASCII punctuation but the apostrophe, and single line feeds, its
-    pre-tokens are certain and the library's model gives their ids; anything else goes through the whole library. Added tokens such as ``<|endoftext|>`` are ordinary text.
+    pre-tokens are certain and the library's model gives their ids; anything else goes through the whole library. Added tokens such as ``<|endoftext|>`` are
+    ordinary text, or with ``added`` what the library makes of them by default: a text that holds one goes through it whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added
+        names = [t.content for t in self.tok.get_added_tokens_decoder().values()] if added else []
+        self.added = re.compile("|".join(map(re.escape, names))) if names else None
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.pack = np.dtype(f"<u{self.width}")
         self.model = self.tok.model
@@ -197,6 +200,8 @@ class Encoder:
         """The ids as packed little-endian numbers."""
         if not text:
             return b""
+        if self.added and self.added.search(text):
+            return self.packed(self.tok.encode(text, add_special_tokens=False).ids)
         if "  " in text or text[0].isspace() or text[-1].isspace() or _SPACE_NEIGHBOUR.search(text):
             return b"".join(map(self.word, _CUT.split(text)))
         first, *rest = text.split(" ")
@@ -206,14 +211,14 @@ class Encoder:
 _SPACE_NEIGHBOUR = re.compile(r"(?: [^\S ])|(?:[^\S ] )")
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker and file."""
-    if path not in _cache:
+def encoder(path: str, added: bool = False) -> Encoder:
+    """One encoder a worker, file and way with added tokens."""
+    if (path, added) not in _cache:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _cache[path] = Encoder(path)
-    return _cache[path]
+        _cache[path, added] = Encoder(path, added)
+    return _cache[path, added]
 
 
 # ---- files
@@ -231,7 +236,7 @@ def _bounds(docs: DataFrame, id_col: str, parts: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, parts: int | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int, int]]:
     """Encode every text, append end_id, write shards in ascending id order: (part, stem, documents, ids) for each.
 
-    A null text has no ids but the end. Null ids come first; rows that repeat an id stay, in the order of their bytes, and ids that hold more than a
+    A null text has no ids but the end. Added tokens in a text get their ids, as the library has it by default. Null ids come first; rows that repeat an id stay, in the order of their bytes, and ids that hold more than a
     part's worth of rows are spread over several. Texts are encoded where they are read; what is shuffled, once, is the packed ids.
     A retried task writes files of new names; only those of the attempt that Spark accepted are listed.
     """
@@ -244,7 +249,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, par
     def encode(batches):
         import zstandard
 
-        enc, squeeze = encoder(tokenizer), zstandard.ZstdCompressor(level=1).compress
+        enc, squeeze = encoder(tokenizer, added=True), zstandard.ZstdCompressor(level=1).compress
         tail = enc.packed([end_id]) if end_id is not None else b""
         encode_text = enc.encode
         for b in batches:
@@ -260,7 +265,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, par
     def write(batches):
         import zstandard
 
-        width, expand = encoder(tokenizer).width, zstandard.ZstdDecompressor().decompress
+        width, expand = encoder(tokenizer, added=True).width, zstandard.ZstdDecompressor().decompress
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         part, out = None, None

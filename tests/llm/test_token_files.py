@@ -45,6 +45,22 @@ def test_cached_encoding_equals_the_library():
         assert np.frombuffer(enc.encode(t), "<u2").tolist() == library(t), repr(t)
 
 
+def test_added_tokens_get_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    usual = Tokenizer.from_file(PATH)
+    ids = lambda t: usual.encode(t, add_special_tokens=False).ids
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b  c", "<|endoftext|", "no such"]
+    assert ids(texts[1]) == [usual.token_to_id("<|endoftext|>")]
+    enc, rng = T.encoder(PATH, added=True), random.Random(5)
+    for _ in range(1000):
+        t = "".join(rng.choice(["a", "the", " ", "  ", "\n", "é", "'s", "1", ".", "<|endoftext|>"]) for _ in range(rng.randrange(10)))
+        assert np.frombuffer(enc.encode(t), "<u2").tolist() == ids(t), repr(t)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in T.read_tokens(spark, T.write_tokens(df, PATH)).collect()}
+    assert got == {i: (len(x := [*ids(t), 0]), zlib.crc32(np.array(x, "<u4").tobytes())) for i, t in enumerate(texts)}
+
+
 def test_write_and_read_back(spark):
     rows = [(i, f"doc {i} " + "word " * (i % 7), i) for i in range(60)] + [(7, "again", 1)] * 30 + [(None, "no id", 0), (61, None, 0), (62, "", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start long").repartition(5)
