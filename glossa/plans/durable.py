@@ -14,9 +14,15 @@ from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
+#: Bytes of an Arrow batch sent to a Python worker, where the session has Spark's default (64 MB): texts may be long, and a worker holds a batch several times.
+BATCH_BYTES = 4 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once an application."""
+    """Send this package to the Python workers, once an application, and bound their batches."""
+    if spark.conf.get(_BATCH).rstrip("b") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -37,7 +43,26 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="glossa-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, base).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark takes it to be on, so that Python workers look in the same place."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of ``taken`` (ignoring case, as Spark does)."""
+    low, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in low:
+            n = "_" + n
+        low.add(n.lower())
+        out.append(n)
+    return out
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,14 +77,15 @@ def numbered(df: DataFrame, *order, name: str = "pos", first: int = 1) -> DataFr
 
     Range partitions are sorted and numbered, then shifted by the sizes of those before; one count a partition reaches the driver.
     """
-    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    d = materialize(d.withColumn("_part", F.shiftright("_at", 33)).withColumn("_local", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"), "numbered")
+    at, part, local, start = fresh(df.columns, "_at", "_part", "_local", "_start")
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    d = materialize(d.withColumn(part, F.shiftright(at, 33)).withColumn(local, F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at), "numbered")
     starts, total = [], first
-    for part, n in sorted((r[0], r[1]) for r in d.groupBy("_part").agg(F.max("_local") + 1).collect()):
-        starts.append((part, total))
+    for p, n in sorted((r[0], r[1]) for r in d.groupBy(part).agg(F.max(local) + 1).collect()):
+        starts.append((p, total))
         total += n
-    offsets = F.broadcast(d.sparkSession.createDataFrame(starts, "_part long, _start long"))
-    return d.join(offsets, "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_start", "_local")
+    offsets = F.broadcast(d.sparkSession.createDataFrame(starts, f"`{part}` long, `{start}` long"))
+    return d.join(offsets, part).withColumn(name, F.col(start) + F.col(local)).drop(part, start, local)
 
 
 def filesystem(uri: str):
