@@ -50,7 +50,7 @@ def qualified(spark: SparkSession, path: str) -> str:
     """The path with the scheme of the file system that Spark takes it to be on, so that Python workers look in the same place."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
-    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
     return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
@@ -92,6 +92,8 @@ def filesystem(uri: str):
     """The Arrow filesystem of a shared folder and the path in it; usable in Python workers."""
     from pyarrow import fs
 
-    if "://" in uri or uri.startswith("file:"):
-        return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri[5:])
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if "://" in uri:
+        return fs.FileSystem.from_uri(uri)
     return fs.LocalFileSystem(), os.path.abspath(uri)
