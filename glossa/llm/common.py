@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import filesystem, materialize, shared_dir, ship
+from ..plans.durable import filesystem, fresh, materialize, shared_dir, ship
 
-__all__ = ["BROADCAST_LIMIT", "WORD", "filesystem", "global_row_number", "materialize", "parts_for", "released", "shared_dir", "ship", "sized_join"]
+__all__ = ["BROADCAST_LIMIT", "WORD", "class_join", "filesystem", "fresh", "global_row_number", "materialize", "parts_for", "released", "shared_dir", "ship", "sized_join"]
 
 #: A join side is broadcast only when its measured size is below this many bytes.
 BROADCAST_LIMIT = 8 << 20
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key is hot if it holds more than one in HOT_KEYS of all rows, so that there are fewer than HOT_KEYS hot ones, and more than HOT_ROWS rows.
+HOT_KEYS, HOT_ROWS = 1 << 14, 1 << 16
+
 
 def released(run):
     """A batch function that gives memory back to the system when its task ends: Python workers outlive their tasks, and what one stage's workers
@@ -49,16 +52,31 @@ def sized_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", ro
     """
     rows = right.count()
     names = [c for c in right.columns if c != on]
-    r = right.withColumnRenamed(on, "_rk")
+    key, salt, rsalt = fresh([*left.columns, *right.columns], "_key", "_salt", "_rsalt")
+    r = right.withColumnRenamed(on, key)
     if rows * row_bytes <= limit:
-        joined = left.join(F.broadcast(r), F.col(on).eqNullSafe(F.col("_rk")), how)
+        joined = left.join(F.broadcast(r), F.col(on).eqNullSafe(F.col(key)), how)
     else:
-        salted = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(32)).cast("int"))
-        r = r.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        joined = salted.join(r, F.col(on).eqNullSafe(F.col("_rk")) & (F.col("_salt") == F.col("_rsalt")), how)
+        salted = left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(32)).cast("int"))
+        r = r.withColumn(rsalt, F.explode(F.sequence(F.lit(0), F.lit(31))))
+        joined = salted.join(r, F.col(on).eqNullSafe(F.col(key)) & (F.col(salt) == F.col(rsalt)), how)
     return joined.select(*left.columns, *names)
 
 
+def class_join(rows: DataFrame, per: DataFrame, on: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``per`` to ``rows``: it has one row a key, which says in the column ``size`` (left out of the result) how many of the ``total`` rows have it.
+
+    Hot keys are broadcast, under HOT_KEYS rows by their definition, so that rows of a hot key stay where they are; the others are shuffled by key. Keys aren't null.
+    ``rows`` is read twice if there may be a hot key and should be a table.
+    """
+    hot = max(HOT_ROWS, total // HOT_KEYS)
+    if total <= hot:
+        return rows.join(per.drop(size), on)
+    big = F.broadcast(per.where(F.col(size) > hot).drop(size))
+    rest = rows.join(F.broadcast(per.where(F.col(size) > hot).select(on)), on, "left_anti")
+    return rows.join(big, on).unionByName(rest.join(per.where(F.col(size) <= hot).drop(size), on))
+
+
 def global_row_number(df: DataFrame, keys: list, name: str = "row_no") -> DataFrame:
     """Add the 0-based position of each row in the order of ``keys``, over all rows.
 
@@ -67,14 +85,14 @@ def global_row_number(df: DataFrame, keys: list, name: str = "row_no") -> DataFr
     reproducible. ``df`` is read twice (once to sample the ranges), so it should be a table, not a long computation.
     """
     spark = df.sparkSession
-    tie = "_tie"
+    tie, at, part, local, start = fresh(df.columns, "_tie", "_at", "_part", "_local", "_start")
     d = df.withColumn(tie, F.monotonically_increasing_id())
     d = d.repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie).drop(tie)
-    d = d.withColumn("_at", F.monotonically_increasing_id())
-    d = materialize(d.withColumn("_part", F.shiftright("_at", 33).cast("int")).withColumn("_local", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), "rows").drop("_at")
+    d = d.withColumn(at, F.monotonically_increasing_id())
+    d = materialize(d.withColumn(part, F.shiftright(at, 33).cast("int")).withColumn(local, F.col(at).bitwiseAND(F.lit((1 << 33) - 1))), "rows").drop(at)
     total, starts = 0, []
-    for part, n in sorted((r[0], r[1]) for r in d.groupBy("_part").agg(F.max("_local") + 1).collect()):
-        starts.append((part, total))
+    for p, n in sorted((r[0], r[1]) for r in d.groupBy(part).agg(F.max(local) + 1).collect()):
+        starts.append((p, total))
         total += n
-    offsets = F.broadcast(spark.createDataFrame(starts, "_part int, _start long"))
-    return d.join(offsets, "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_start", "_local")
+    offsets = F.broadcast(spark.createDataFrame(starts, f"`{part}` int, `{start}` long"))
+    return d.join(offsets, part).withColumn(name, F.col(start) + F.col(local)).drop(part, start, local)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, global_row_number, materialize, sized_join
+from .common import WORD, fresh, global_row_number, materialize, sized_join
 
 WEIGHTS = (3, 1, 2)
 
@@ -78,9 +78,10 @@ def mix(docs: DataFrame, seed: int = 42, share: float = 1.5, cap: float = 2.0, w
 def expand(docs: DataFrame, seed: int = 42, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus itself: each row of ``docs``, with all its columns, as often as ``mix`` takes it.
 
-    Rates are joined by source as in ``mix``. ``docs`` must not have columns named ``_rate`` or ``_copy``.
+    Rates are joined by source as in ``mix``. Columns of ``docs`` may have any name.
     """
+    rate, copy = fresh(docs.columns, "_rate", "_copy")
     targets = source_targets(_sizes(docs, id_col, text_col, source_col), share, cap, weights)
-    d = sized_join(docs, targets.select(F.col("source").alias(source_col), _rate().alias("_rate")), source_col, row_bytes=256)
-    copies = draws(seed, F.col(id_col), F.col("_rate")).cast("int")
-    return d.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    d = sized_join(docs, targets.select(F.col("source").alias(source_col), _rate().alias(rate)), source_col, row_bytes=256)
+    copies = draws(seed, F.col(id_col), F.col(rate)).cast("int")
+    return d.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)

@@ -18,10 +18,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, released, ship
+from .common import HOT_ROWS, class_join, fresh, materialize, released, ship
 
 BITS, HALF = 64, 32
 #: A pair of nodes with at most this many leaves is finished in one group.
@@ -188,7 +188,8 @@ def _seeds(leaves: DataFrame, total: int, distance: int, limit: int) -> list[tup
     pairs = at.select(F.col("p").alias("a"), F.col("c").alias("ca"), near(F.col("p"), depth, min(top, depth)).alias("x")).select("a", "ca", F.col("x.b").alias("b"), F.col("x.e").alias("e"))
     while True:
         other = at.select(F.col("p").alias("b"), F.col("c").alias("cb"))
-        pairs = materialize(pairs.where("a <= b").join(other, "b"), "nodes")
+        # each pair once; compared without sign, which keeps the order of the nodes above
+        pairs = materialize(pairs.where("(a ^ shiftleft(1L, 63)) <= (b ^ shiftleft(1L, 63))").join(other, "b"), "nodes")
         big = F.col("ca") + F.col("cb") > 4 * limit
         if depth >= BITS or not pairs.where(big).limit(1).count():
             out.append((depth, pairs.select("a", "b")))
@@ -238,19 +239,24 @@ def links(leaves: DataFrame, distance: int = 3, limit: int = LEAVES) -> DataFram
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable, as signed numbers) of the graph whose edges are (u, v).
 
-    Large-star and small-star contractions in turn until nothing changes: logarithmic in practice, each a join-free grouping, written to the
-    shared folder.
+    Large-star and small-star contractions in turn until nothing changes: logarithmic in practice. Least neighbours are aggregated before they are
+    shuffled and joined back, those of hot nodes by broadcast, so no task holds all the neighbours of a node.
     """
     e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    last = None
+    n, last = e.count(), None
+
+    def least(d: DataFrame) -> DataFrame:
+        """d with m, the least v of each u."""
+        return class_join(d, d.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", "n", 2 * n)
+
     while True:
         # large star: each node's larger neighbours go to its smallest neighbour (or itself)
-        both = e.union(e.select(F.col("v"), F.col("u")))
-        m = F.min("v").over(Window.partitionBy("u"))
-        large = both.withColumn("m", F.least("u", m)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        if 2 * n > HOT_ROWS:
+            large = materialize(large, "large")
         # small star: a node's smaller neighbours, and itself, go to the smallest of them
-        w = Window.partitionBy("u")
-        small = large.withColumn("m", F.min("v").over(w)).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        small = least(large).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         e = materialize(small, "edges")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
@@ -271,23 +277,21 @@ def near_duplicates(docs: DataFrame, distance: int = 3, limit: int = LEAVES, id_
 
 
 def _classes(docs: DataFrame, distance: int, limit: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """doc_id and fp of every row; fp, n_near, component_id and root of every fingerprint. Components may share a component_id, not a root."""
+    """doc_id and fp of every row; fp, n (its rows), n_near, component_id and root of every fingerprint. Components may share a component_id, not a root."""
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     leaves = materialize(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "leaves")
     found = links(leaves.select("fp", "n"), distance, limit)
     near = found.groupBy("fp").agg(F.sum("near").alias("near"))
     comp = components(found.select(F.col("fp").alias("u"), F.col("to").alias("v")))
     named = leaves.join(near, "fp", "left").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = materialize(named.select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n_near"), "root", "first"), "named")
-    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps, materialize(named.join(roots, "root").select("fp", "n_near", "component_id", "root"), "classes")
+    named = materialize(named.select("fp", "n", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n_near"), "root", "first"), "named")
+    roots = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_fps"))
+    return fps, materialize(class_join(named, roots, "root", "_fps", named.count()).select("fp", "n", "n_near", "component_id", "root"), "classes")
 
 
 def _spread(fps: DataFrame, per: DataFrame) -> DataFrame:
-    """Join what holds for a fingerprint to its rows; a hot one is met 32 times so that its rows needn't share a task."""
-    salted = fps.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int"))
-    copies = per.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    return salted.join(copies, ["fp", "_s"]).drop("_s")
+    """Join what holds for a fingerprint to its rows."""
+    return class_join(fps, per, "fp", "n", fps.count())
 
 
 def keep_one(docs: DataFrame, distance: int = 3, limit: int = LEAVES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,26 +299,28 @@ def keep_one(docs: DataFrame, distance: int = 3, limit: int = LEAVES, id_col: st
 
     Where rows of a component repeat that id, the one whose text has the smallest hash stays; rows of one id in several components are decided on in each. Rows
     without an id are kept. What is joined is the ids that go, fewer than those that stay; only if they exceed the broadcast limit of the session are the
-    rows shuffled, once, by id. Rows whose id repeats are fingerprinted again and joined by id and fingerprint.
+    rows shuffled, once, by id. Rows whose id repeats are fingerprinted again and reduced, before they are shuffled, to one a fingerprint. Columns may have any name.
     """
     fps, per = _classes(docs, distance, limit, id_col, text_col)
     rows = _spread(fps, per)
-    repeated = materialize(fps.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "repeated")
+    own, fp_, key, root, pick = fresh(docs.columns, "_id", "_fp", "_key", "_root", "_pick")
+    repeated = materialize(fps.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own)).count().where("count > 1").select(own), "repeated")
     several = repeated.limit(1).count() > 0
-    gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias(own))
     gone = materialize((gone.unionByName(repeated) if several else gone).distinct(), "gone")
-    here = F.col(id_col) == F.col("_id")
+    here = F.col(id_col) == F.col(own)
     d = docs.join(gone, here, "left_anti")
     if not several:
         return d
-    heads = rows.where("doc_id = component_id").join(repeated, F.col("doc_id") == F.col("_id"), "left_semi")
-    heads = materialize(heads.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_head"), F.col("root").alias("_root")).distinct(), "heads")
+    heads = rows.where("doc_id = component_id").join(repeated, F.col("doc_id") == F.col(own), "left_semi")
+    heads = materialize(heads.select(F.col("doc_id").alias(own), F.col("fp").alias(fp_), F.col("root").alias(root)).distinct(), "heads")
 
     @F.arrow_udf("long")
     def fp(t: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(x) for x in t.to_pylist()], np.uint64).view(np.int64))
 
-    first = F.row_number().over(Window.partitionBy("_id", "_root").orderBy(F.xxhash64(text_col)))
-    again = docs.join(repeated, here, "left_semi").withColumn("_fp", fp(F.col(text_col)))
-    again = again.join(heads, here & (F.col("_fp") == F.col("_head"))).withColumn("_first", first).where("_first = 1")
-    return d.unionByName(again.select(*docs.columns))
+    # of rows alike in text the one whose other columns (but maps, which have no order) hash lowest
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    again = docs.join(repeated, here, "left_semi").select(F.col(id_col).cast("long").alias(own), fp(F.col(text_col)).alias(fp_), F.struct(F.xxhash64(text_col), F.xxhash64(*others)).alias(key), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(pick))
+    again = again.groupBy(own, fp_).agg(F.min_by(pick, key).alias(pick), F.min(key).alias(key)).join(heads, [own, fp_])
+    return d.unionByName(again.groupBy(own, root).agg(F.min_by(pick, key).alias(pick)).select(f"{pick}.*"))

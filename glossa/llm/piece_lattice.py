@@ -32,8 +32,8 @@ from .common import filesystem, materialize, released, shared_dir, ship
 MARK = "▁"
 #: Words up to this many code points are exploded; longer ones are folded where they are met.
 LONGEST = 48
-#: Words that a worker remembers before it starts afresh, and rows that it handles at once.
-REMEMBERED, SLICE = 400_000, 1000
+#: Words that a worker remembers before it starts afresh, words that it collects before it sends them, and rows that it handles at once.
+REMEMBERED, COLLECTED, SLICE = 100_000, 50_000, 500
 #: Words that are cut at once.
 BULK = 20_000
 #: Distinct words of a task that folds lattices: their edges fit its memory.
@@ -283,7 +283,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class _Memo(dict):
-    """Packed ids of words after one mark, worked out when first met; starts afresh when it holds REMEMBERED."""
+    """Packed ids, worked out when a word is first met; starts afresh when it holds REMEMBERED."""
 
     def __init__(self, of) -> None:
         super().__init__()
@@ -292,7 +292,7 @@ class _Memo(dict):
     def __missing__(self, w: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        got = self[w] = self.of(MARK + w)
+        got = self[w] = self.of(w)
         return got
 
 
@@ -301,15 +301,11 @@ class Speller:
 
     def __init__(self, pieces: Pieces, known: dict[str, bytes] | None = None) -> None:
         self.pieces, self.known = pieces, known or {}
-        self.plain = _Memo(self.word)
+        self.plain, self.other = _Memo(lambda w: self.word(MARK + w)), _Memo(lambda a: np.array(pieces.fold(a), "<i4").tobytes())
 
     def atom(self, a: str) -> bytes:
         got = self.known.get(a)
-        if got is None:
-            got = np.array(self.pieces.fold(a), "<i4").tobytes()
-            if len(a) <= LONGEST:
-                self.known[a] = got
-        return got
+        return got if got is not None else self.other[a] if len(a) <= LONGEST else self.other.of(a)
 
     def word(self, w: str) -> bytes:
         own = self.pieces.atoms(w)
@@ -388,7 +384,7 @@ def _dictionaries(docs: DataFrame, pieces: Pieces, text_col: str) -> str:
                     waiting = []
                 if len(plain) + len(words) > REMEMBERED:
                     plain, words = set(), set()
-                if len(atoms) > REMEMBERED:
+                if len(atoms) > COLLECTED:
                     yield send(chunk, atoms)
                     atoms = set()
         atoms.update(chain.from_iterable(pieces.atoms_of([MARK + w for w in waiting])))
@@ -435,7 +431,8 @@ def _dictionaries(docs: DataFrame, pieces: Pieces, text_col: str) -> str:
 
     folder = shared_dir(spark, "spelling")
     packed = vocabulary.join(encoded, "word").select("word", "chunks", "ids").mapInArrow(released(by_chunk), "chunk int, words string, sizes array<int>, ids binary")
-    packed.repartition("chunk").write.option("compression", "zstd").partitionBy("chunk").parquet(folder)
+    n = max(1, docs.rdd.getNumPartitions())  # a task writes the dictionary of one partition
+    packed.repartitionById(n, F.pmod("chunk", F.lit(n)).cast("int")).write.option("compression", "zstd").partitionBy("chunk").parquet(folder)
     return folder
 
 

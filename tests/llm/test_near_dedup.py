@@ -114,3 +114,35 @@ def test_components_of_a_long_chain(spark):
     e = list(zip(ids, ids[1:])) + [(6000, 7000)]
     got = {r.node: r.root for r in N.components(spark.createDataFrame(e, "u long, v long")).collect()}
     assert all(got.get(x, x) == min(ids) for x in ids) and got[7000] == 6000
+
+
+def test_columns_may_have_any_name(spark):
+    names = ["_id", "_fp", "_key", "_root", "_pick", "_first", "fp", "root", "n"]
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    rows = [(d, t, *[i] * len(names)) for i, (d, t) in enumerate([(1, texts[0]), (5, texts[0]), (5, texts[1]), (5, texts[1]), (None, texts[1])])]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names]).repartition(3)
+    got = N.keep_one(df)
+    assert got.columns == df.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "5", "None"]
+
+
+def test_hot_keys_are_broadcast(spark, monkeypatch):
+    from glossa.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    monkeypatch.setattr(common, "HOT_KEYS", 8)
+    monkeypatch.setattr(N, "HOT_ROWS", 4)
+    rng = random.Random(7)
+    ids = rng.sample(range(-500, 500), 60)
+    e = [(ids[0], x) for x in ids[1:40]] + list(zip(ids[40:], ids[41:])) + [(ids[40], ids[3])]
+    got = {r.node: r.root for r in N.components(spark.createDataFrame(e, "u long, v long")).collect()}
+    assert all(got.get(x, x) == min(ids) for x in ids)
+    rows = [(i, "same text here") for i in range(40)] + [(100 + i, f"text {i} " * 30) for i in range(20)]
+    per = {r.doc_id: r.n_near for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(per) == 60 and all(per[i] == 39 for i in range(40))
+
+
+def test_partners_across_the_top_bit_at_the_deepest_level(spark, monkeypatch):
+    monkeypatch.setattr(N, "STEP", 16)
+    f = {x ^ (b << 63) for x in (3, 77 << 40, 5 << 20) for b in (0, 1)}
+    near = {r.fp & (2**64 - 1): r.near for r in run(spark, list(enumerate(f)), 1).groupBy("fp").agg({"near": "sum"}).withColumnRenamed("sum(near)", "near").collect()}
+    assert near == {x: n for x in f if (n := sum(1 for y in f if y != x and (x ^ y).bit_count() <= 3))} and len(near) == 6

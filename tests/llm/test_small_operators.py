@@ -89,6 +89,8 @@ def test_mix(spark):
     assert out.columns == df.columns
     assert Counter(r.doc_id for r in out.collect()) == Counter({i: n for i in {r.doc_id for r in got} if (n := sum(r.copies for r in got if r.doc_id == i))})
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.expand(df.limit(0)).count() == 0
+    odd = df.selectExpr("*", "1 AS _rate", "2 AS _copy", "3 AS _key", "4 AS _salt")
+    assert mixing.expand(odd).columns == odd.columns and mixing.expand(odd).count() == out.count()
 
 
 def test_sized_join_with_salts_equals_the_broadcast_one(spark):
