@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from glossa.llm import common, html_extract, metric_search, mixing, quality, sharding
@@ -169,16 +170,61 @@ def test_top_k_equals_brute_force(spark):
     assert metric_search.top_k(df.limit(0)).count() == 0 and metric_search.top_k(df.where("vec_id = 3")).count() == 0
 
 
+def clustered_vectors(n, seed=4):
+    rng = np.random.default_rng(seed)
+    return np.floor(256 * (rng.normal(size=(8, 6))[np.arange(n) % 8] * 3 + rng.normal(size=(n, 6)) * 0.02)).astype(np.int64)
+
+
+def best_of(v, q, k=5):
+    return sorted((-int(v[q] @ v[j]), j) for j in range(len(v)) if j != q)[:k]
+
+
 def test_pages_are_skipped_where_data_are_clustered():
-    rng = np.random.default_rng(4)
-    v = np.floor(256 * (rng.normal(size=(8, 6))[np.arange(4000) % 8] * 3 + rng.normal(size=(4000, 6)) * 0.02))
+    v = clustered_vectors(4000)
     m2 = float((v * v).sum(1).max())
+    hub = metric_search._lift(v[:1].astype(float), m2)[0]
     count = {}
-    got = metric_search.search_pages(metric_search.build_pages(np.arange(4000), v, m2, 64), np.arange(8), v[:8], m2, 5, count)
+    i, vec, score = metric_search.search_pages(metric_search.build_pages(np.arange(4000), v, m2, 64, hub), np.arange(8), v[:8], m2, 5, hub, None, count)
     assert count["scored"] < 0.6 * 8 * 4000
     for q in range(8):
-        want = sorted((-int(v[q] @ v[j]), j) for j in range(4000) if j != q)[:5]
-        assert sorted((-s, j) for a, j, s in got if a == q) == want
+        assert sorted((-int(s), int(j)) for a, j, s in zip(i, vec, score) if a == q) == best_of(v, q)
+
+
+def test_regions_beyond_the_reach_are_skipped():
+    v = clustered_vectors(4000)
+    m2 = float((v * v).sum(1).max())
+    top = metric_search.Regions.fit(v[:400].tolist(), m2, 40, 1)
+    region, far = top.assign(pd.Series(list(v)), True)
+    top.radii[6] = np.array([far[region == (6 << 20) + i].max(initial=-np.inf) for i in range(len(top.hubs[6]))])
+    q = v[:80]
+    reach = np.array([np.sqrt(max(float(x @ x) + m2 + 2 * best_of(v, i)[-1][0], 0)) for i, x in enumerate(q)])
+    near = top.within(pd.Series(list(q)), reach)
+    assert sum(map(len, near)) < 0.7 * len(q) * len(top.hubs[6])
+    for i in range(len(q)):  # and no answer lies in one that is
+        assert {int(region[j]) for _, j in best_of(v, i)} <= set(near[i])
+
+
+def test_products_beyond_floating_point(spark):
+    rows = [(0, [8000001.0, 8000003.0]), (50, [8000000.0, 8000004.0]), (1, [8000002.0, 8000002.0]), (2, [-8000001.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = {i: [int(256 * c) for c in x] for i, x in rows}
+    want = {q: sorted((-sum(a * b for a, b in zip(v[q], v[j])), j) for j in v if j != q) for q in (0, 50)}
+    got = {}
+    for r in metric_search.top_k(df).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert {q: sorted(x) for q, x in got.items()} == want
+    with pytest.raises(ValueError, match="exceed"):
+        metric_search.top_k(spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e300, 0.0])], df.schema))
+
+
+def test_vectors_of_lengths_that_the_sample_lacks(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.random() for _ in range(1 + i % 40)]) for i in range(800)]
+    df = spark.createDataFrame([(i, x) for i, x in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in metric_search.top_k(df, 5, 10, sample_rows=10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert {q: sorted(x) for q, x in got.items()} == {q: x for q, x in brute_top(rows, 5, 10).items() if x}
 
 
 # ---- HTML
