@@ -113,6 +113,17 @@ def score_against(query: str):
     return score
 
 
+def scores_against(query: str):
+    """Arrow function of a word column: what its spelling score against one query is made of."""
+
+    @F.pandas_udf("jaro double, jaro_winkler double, sound double, score double")
+    def scores(words: pd.Series) -> pd.DataFrame:
+        w = ["" if x is None else x for x in words]
+        return pd.DataFrame({"jaro": [jaro(query, x) for x in w], "jaro_winkler": [jaro_winkler(query, x) for x in w], "sound": [sound_similarity(query, x) for x in w], "score": [spelling_score(query, x) for x in w]})
+
+    return scores
+
+
 @F.pandas_udf(DoubleType())
 def score_pairs(queries: pd.Series, words: pd.Series) -> pd.Series:
     """Spelling score of a word column against a query column."""

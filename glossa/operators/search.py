@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import score_against, weighted_distance, within
+from ..functions.distance import score_against, scores_against, weighted_distance, within
 from ..functions.patterns import PatternError, compile_pattern, matches_at_start
 from ..functions.text import byte_count, codepoint_count, common_prefix, suffix_length, suffix_rank
 from ..plans.durable import ship
@@ -85,10 +85,17 @@ def suggestions(entries: DataFrame, query: str, names: list[str] | None = None)
     low, high = (1 if n <= 1 else 2), min(n, 3)
     d = chosen(entries, names).where(within(F.col("key"), query, high) if n else F.lit(False)).select("dict", "key").distinct()
     d = d.withColumn("tier", F.greatest(weighted_distance(F.col("key"), query), F.lit(low)))
-    d = d.withColumn("first", F.min("tier").over(Window.partitionBy("dict"))).where("tier = first").select("key").distinct()
+    # the least tier of each dictionary is aggregated and joined back, so no dictionary has to fit a task
+    d = d.join(d.groupBy("dict").agg(F.min("tier").alias("tier")), ["dict", "tier"]).select("key").distinct()
     return d.withColumn("score", score_against(query)("key")).orderBy(F.desc("score"), "key")
 
 
+def scores(entries: DataFrame, query: str, names: list[str] | None = None) -> DataFrame:
+    """key, jaro, jaro_winkler, sound, score of every key against the query."""
+    ship(entries.sparkSession)
+    return chosen(entries, names).select("key").distinct().withColumn("s", scores_against(query)("key")).select("key", "s.*")
+
+
 def suggest(entries: DataFrame, query: str, names: list[str] | None = None) -> DataFrame:
     """key: the corrections in order."""
     return suggestions(entries, query, names).select("key")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import posixpath
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.trees import from_items, read_tree
 from . import metadata
+from .durable import beside, filesystem, ship
 
 SUFFIX = ".gfiles"
 
@@ -24,7 +26,7 @@ def write_files(spark: SparkSession, files: DataFrame, output: str, meta: dict |
 
 
 def _names(output: str) -> tuple[str, str]:
-    return os.path.basename(output).removesuffix(SUFFIX), os.path.basename(os.path.dirname(os.path.abspath(output)))
+    return posixpath.basename(output.rstrip("/")).removesuffix(SUFFIX), posixpath.basename(beside(output))
 
 
 def compile_tree(spark: SparkSession, roots: str | list[str], output: str, meta: dict | str | None = None, block_size_kb: int = 8, level: int = 5) -> Archive:
@@ -37,31 +39,40 @@ def compile_items(spark: SparkSession, items: list[tuple[str, bytes]], output: s
     return write_files(spark, from_items(spark, items, *_names(output)), output, meta, block_size_kb, level)
 
 
-def safe_target(folder: str, key: str) -> str | None:
-    """Where a file is to go; None for a key that leads out of the folder."""
-    base = os.path.realpath(folder)
-    target = os.path.realpath(os.path.join(base, key))
-    return target if key and not os.path.isabs(key) and target.startswith(base + os.sep) else None
+def safe_target(key: str) -> str | None:
+    """Where a file is to go below a folder; None for a key that leads out of it."""
+    at = posixpath.normpath(key.replace("\\", "/")) if key else "."
+    return None if at == "." or at.startswith(("/", "../")) or at == ".." else at
 
 
 def extract_files(files: DataFrame, folder: str) -> DataFrame:
     """path, written: every file of the table below a folder that the executors share; keys that lead out of it aren't written.
 
-    A file is written under another name and moved into place, so a repeated task does no harm.
+    A file is written under another name and moved into place, so a repeated task does no harm. Links in a local folder aren't followed out of it.
     """
+    ship(files.sparkSession)
 
     def run(batches):
+        from os.path import realpath
+
+        from pyarrow.fs import LocalFileSystem
+
+        fs, root = filesystem(folder)
+        local = isinstance(fs, LocalFileSystem)
         for pdf in batches:
             done = []
             for key, data in zip(pdf["path"], pdf["content"], strict=True):
-                target = safe_target(folder, key)
-                if target:
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    part = f"{target}.{os.getpid()}.part"
-                    with open(part, "wb") as f:
+                at = safe_target(key)
+                target = f"{root}/{at}"
+                if at and local and not realpath(target).startswith(realpath(root) + "/"):
+                    at = None
+                if at:
+                    fs.create_dir(posixpath.dirname(target), recursive=True)
+                    part = f"{target}.{uuid.uuid4().hex[:8]}.part"
+                    with fs.open_output_stream(part) as f:
                         f.write(data)
-                    os.replace(part, target)
-                done.append(target is not None)
+                    fs.move(part, target)
+                done.append(at is not None)
             yield pd.DataFrame({"path": pdf["path"], "written": done})
 
     return files.select("path", "content").mapInPandas(run, "path string, written boolean")

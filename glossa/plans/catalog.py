@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import logging
-import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from ..sources.records import SCHEMA as ENTRIES
 from ..sources.trees import SCHEMA as FILES
 from . import archive as archives
 from .dictionary import Dictionary
+from .durable import absolute, beside, filesystem, names_in
 
 log = logging.getLogger("glossa")
 _LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL", "OFF")
@@ -47,8 +47,9 @@ class Library:
 
     def _load(self, path: str) -> None:
         try:
-            with open(path, encoding="utf-8") as f:
-                c = json.load(f)
+            fs, at = filesystem(path)
+            with fs.open_input_file(at) as f:
+                c = json.loads(f.read())
             for name, where in sorted((c.get("dictionaries") or {}).items()):
                 self._valid &= self.insert(name, where)
             self._loaded_suffixes = c.get("prior_suffix") or {}
@@ -73,10 +74,9 @@ class Library:
         if not d:
             log.error("%s is no dictionary", path)
             return False
-        beside = os.path.dirname(os.path.abspath(path))
-        found = sorted(f for f in (os.listdir(beside) if os.path.isdir(beside) else []) if f.endswith(archives.SUFFIX))
+        folder = beside(path)
         self._dicts[name] = d
-        self._archives[name] = [a for f in found if (a := archives.Archive(self.spark, os.path.join(beside, f), name))]
+        self._archives[name] = [a for f in names_in(folder) if f.endswith(archives.SUFFIX) and (a := archives.Archive(self.spark, f"{folder}/{f}", name))]
         return True
 
     def insert_if_not_exists(self, name: str, path: str) -> bool:
@@ -97,11 +97,12 @@ class Library:
 
     def save_to_disk(self, path: str) -> None:
         """The catalog as JSON, with absolute paths; suffixes come from the file they were loaded from."""
-        c: dict = {"dictionaries": {n: os.path.abspath(d.path) for n, d in sorted(self._dicts.items())}}
+        c: dict = {"dictionaries": {n: absolute(d.path) for n, d in sorted(self._dicts.items())}}
         if self._loaded_suffixes:
             c["prior_suffix"] = self._loaded_suffixes
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(c, f, indent=2, ensure_ascii=False)
+        fs, at = filesystem(path)
+        with fs.open_output_stream(at) as f:
+            f.write(json.dumps(c, indent=2, ensure_ascii=False).encode())
 
     def insert_prior_suffix(self, suffixes: list[str]) -> None:
         """Append suffixes that aren't there yet; earlier ones rank first."""
@@ -144,7 +145,7 @@ class Library:
         if name not in self._dicts:
             log.error("no dictionary %s", name)
             return False
-        folder = folder or os.path.join(os.path.dirname(os.path.abspath(self._dicts[name].path)), "data")
+        folder = folder or f"{beside(self._dicts[name].path)}/data"
         return any(a.extract(path, folder) for a in self._archives[name])
 
     extract_if_exists = extract

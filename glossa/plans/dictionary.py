@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import lookup, search
 from ..sources.records import InvalidDictionary, from_lists, read_text
 from . import metadata
+from .durable import filesystem
 
 SUFFIX = ".gdict"
 
@@ -26,11 +27,19 @@ def check_entries(entries: DataFrame, already_sorted: bool = False) -> None:
 
 
 def write_entries(entries: DataFrame, output: str, level: int = 5, block_size_kb: int = 8, already_sorted: bool = False, mode: str = "errorifexists") -> None:
-    """Range-partitioned and sorted by (key, entry_no); zstd pages of the block size."""
-    check_entries(entries, already_sorted)
+    """Range-partitioned and sorted by (key, entry_no); zstd pages of the block size. Keys are checked on the way: entries are computed twice, for the range sample and the sort."""
+    if already_sorted:
+        check_entries(entries, True)
+    bad = F.raise_error(F.lit("empty key")).cast("string")
+    entries = entries.withColumn("key", F.when(F.col("key") != "", F.col("key")).otherwise(bad))
     d = entries.repartitionByRange("dict", "key", "entry_no").sortWithinPartitions("dict", "key", "entry_no")
     w = d.write.mode(mode).option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).option("parquet.page.size", str(block_size_kb << 10))
-    w.option("parquet.bloom.filter.enabled#key", "true").parquet(output)
+    try:
+        w.option("parquet.bloom.filter.enabled#key", "true").parquet(output)
+    except Exception as e:
+        if "empty key" in str(e):
+            raise InvalidDictionary("empty key") from None
+        raise
 
 
 def _finish(spark: SparkSession, entries: DataFrame, output: str, meta: dict | str | None, block_size_kb: int, level: int, already_sorted: bool, mode: str) -> Dictionary:
@@ -142,9 +151,10 @@ class Dictionary:
     def extract(self, output: str, crlf: bool = False) -> None:
         """The dictionary as raw text in one file, written by one task in the order of keys; entries() is the way for large ones."""
         end = "\r\n" if crlf else "\n"
-        with open(output, "w", encoding="utf-8", newline="") as f:
+        fs, at = filesystem(output)
+        with fs.open_output_stream(at) as f:
             for r in self.entries.orderBy("key", "entry_no").select("key", "value").toLocalIterator():
-                f.write(f"{r.key}\n{r.value}\n</>\n".replace("\n", end))
+                f.write(f"{r.key}\n{r.value}\n</>\n".replace("\n", end).encode())
 
     def write_text(self, folder: str) -> None:
         """The dictionary as raw text files, one a task, in the order of keys."""

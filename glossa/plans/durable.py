@@ -88,6 +88,24 @@ def numbered(df: DataFrame, *order, name: str = "pos", first: int = 1) -> DataFr
     return d.join(offsets, part).withColumn(name, F.col(start) + F.col(local)).drop(part, start, local)
 
 
+def absolute(path: str) -> str:
+    """A local path made absolute; one with a scheme as it is."""
+    return path if "://" in path or path.startswith("file:") else os.path.abspath(path)
+
+
+def beside(path: str) -> str:
+    """The folder that a path lies in."""
+    return absolute(path).rstrip("/").rpartition("/")[0]
+
+
+def names_in(folder: str) -> list[str]:
+    """What lies in a folder, in order; nothing if there is none."""
+    from pyarrow.fs import FileSelector
+
+    fs, root = filesystem(folder)
+    return sorted(f.base_name for f in fs.get_file_info(FileSelector(root, allow_not_found=True)))
+
+
 def filesystem(uri: str):
     """The Arrow filesystem of a shared folder and the path in it; usable in Python workers."""
     from pyarrow import fs

@@ -6,7 +6,7 @@ delimiter doesn't count; what follows the last delimiter is passed over. A recor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_whitespace
@@ -19,32 +19,56 @@ class InvalidDictionary(ValueError):
     """Text or entries that make no dictionary."""
 
 
+def _lines(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(s, "\r$", ""))
+
+
 def _records(text: Column) -> Column:
-    """The records of a whole text, each with its line feeds; the tail after the last delimiter is dropped."""
-    lines = F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(s, "\r$", ""))
-    marked = F.array_join(F.transform(lines, lambda s: F.when(trim_whitespace(s) == DELIMITER, F.lit("\u0001")).otherwise(s)), "\n")
-    parts = F.split(F.concat(marked, F.lit("\n")), "\u0001\n", -1)
-    return F.slice(parts, 1, F.size(parts) - 1)
+    """The lines of each record of a whole text; the tail after the last delimiter is dropped."""
+    lines = _lines(text)
+    ends = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: trim_whitespace(F.element_at(lines, i)) == DELIMITER)
+
+    def record(end: Column, r: Column) -> Column:
+        start = F.when(r == 0, F.lit(1)).otherwise(F.coalesce(F.get(ends, r - 1), F.lit(0)) + 1)
+        return F.slice(lines, start, end - start)
+
+    return F.transform(ends, record)
+
+
+def _entries(r: DataFrame) -> DataFrame:
+    """entries from dict, entry_no and ``_rec``, the lines of a record."""
+    bad = F.raise_error(F.concat(F.lit("no key and value lines in record "), F.col("entry_no").cast("string"), F.lit(" of "), F.col("dict")))
+    value = F.when(F.size("_rec") > 1, F.array_join(F.slice("_rec", 2, F.greatest(F.size("_rec") - 1, F.lit(0))), "\n")).otherwise(bad.cast("string"))
+    return r.select("dict", F.col("entry_no").cast("long").alias("entry_no"), trim_whitespace(F.get("_rec", F.lit(0))).alias("key"), value.alias("value"))
 
 
 def parse_text(texts: DataFrame, name: Column | str = "dict", text: str = "value") -> DataFrame:
-    """entries from rows of whole texts. InvalidDictionary is raised by ``checked``; bad texts are seen there, not silently dropped here."""
+    """entries from rows of whole texts. A record without key and value lines fails the query; it isn't silently dropped."""
     name = F.lit(name) if isinstance(name, str) and name not in texts.columns else F.col(name) if isinstance(name, str) else name
-    r = texts.select(name.alias("dict"), F.posexplode(_records(F.col(text))).alias("entry_no", "_rec"))
-    first = F.substring_index("_rec", "\n", 1)
-    rest = F.substring(F.col("_rec"), F.char_length(first) + 2, F.char_length("_rec"))
-    fine = F.size(F.split("_rec", "\n")) > 2  # a key line, a value line and the end of that
-    bad = F.raise_error(F.concat(F.lit("no key and value lines in record "), F.col("entry_no").cast("string"), F.lit(" of "), F.col("dict")))
-    value = F.when(fine, F.regexp_replace(rest, "\n\\z", "")).otherwise(bad.cast("string"))
-    return r.select("dict", F.col("entry_no").cast("long").alias("entry_no"), trim_whitespace(first).alias("key"), value.alias("value"))
+    return _entries(texts.select(name.alias("dict"), F.posexplode(_records(F.col(text))).alias("entry_no", "_rec")))
 
 
 def read_text(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """entries of one raw text file; a file without a delimiter is invalid."""
-    whole = spark.read.text(path, wholetext=True)
-    if whole.where(F.size(_records(F.col("value"))) > 0).limit(1).count() == 0:
+    """entries of one raw text file, of any size; a file without a delimiter is invalid.
+
+    The file is read in splits. Delimiters are numbered in each and shifted by how many lie in those before, one number a split; the lines of a record then meet.
+    """
+    d = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("_block"))
+    d = d.select(F.regexp_replace("value", "\r$", "").alias("_line"), "_block", F.monotonically_increasing_id().alias("_at"))
+    d = d.withColumn("_end", (trim_whitespace(F.col("_line")) == DELIMITER).cast("long"))
+    starts, total = [], 0
+    for block, n in sorted((r[0], r[1]) for r in d.groupBy("_block").agg(F.sum("_end")).collect()):
+        starts.append((block, total))
+        total += n
+    if not total:
         raise InvalidDictionary(f"{path}: no delimiter")
-    return parse_text(whole, F.lit(name))
+    w = Window.partitionBy("_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_seen", F.sum("_end").over(w)).where("_end = 0")
+    d = d.join(F.broadcast(spark.createDataFrame(starts, "_block long, _before long")), "_block").withColumn("entry_no", F.col("_before") + F.col("_seen"))
+    lines = F.array_sort(F.collect_list(F.struct("_block", "_at", "_line")))
+    found = d.where(F.col("entry_no") < total).groupBy("entry_no").agg(F.transform(lines, lambda x: x["_line"]).alias("_rec"))
+    every = spark.range(total).withColumnRenamed("id", "entry_no")  # two delimiters in a row are a record too, a bad one
+    return _entries(every.join(found, "entry_no", "left").select(F.lit(name).alias("dict"), "entry_no", F.coalesce("_rec", F.array().cast("array<string>")).alias("_rec")))
 
 
 def from_lists(spark: SparkSession, keys: list[str], values: list[str], name: str) -> DataFrame:

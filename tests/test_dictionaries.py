@@ -160,3 +160,19 @@ def test_streaming(spark, tmp_path):
     src = spark.readStream.schema("text string, ts timestamp").parquet(str(tmp_path / "texts"))
     ingest.append_to(ingest.word_stream(src, "n", at="ts"), str(tmp_path / "w"), str(tmp_path / "wc")).awaitTermination()
     assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "w")).collect()) == ["cat", "the"]
+
+
+def test_text_scan_in_many_splits(spark, tmp_path):
+    text = "".join(f"key {i}\nline \u0001\n second é {i * 7}\n</>\n" for i in range(60)) + "k\nv\u0001\n </> \ntail"
+    path = write(tmp_path / "many.txt", text)
+    want = [(i, f"key {i}", f"line \u0001\n second é {i * 7}") for i in range(60)] + [(60, "k", "v\u0001")]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert rows(records.read_text(spark, path, "m")) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = spark.createDataFrame([("m", text)], "dict string, value string")
+    assert rows(records.parse_text(whole)) == want
+    with pytest.raises(Exception, match="no key and value lines in record 1"):
+        records.read_text(spark, write(tmp_path / "two.txt", "K\nv\n</>\n</>\n"), "t").collect()
