@@ -38,6 +38,9 @@ def parser() -> argparse.ArgumentParser:
     w.add_argument("-b", "--block-size", type=int, default=8)
     w.add_argument("-c", "--compress-level", type=int, default=5)
     w.add_argument("-s", "--sorted", action="store_true")
+    w.add_argument("-z", "--zstd-dict-size", type=int, default=100, help="taken for its callers: Parquet compresses pages without a trained dictionary")
+    for q in (s, w):
+        q.add_argument("-w", "--worker-threads", type=int, default=0, help="taken for its callers: the session's cores do the work")
     x = sub.add_parser("extract")
     x.add_argument("input")
     x.add_argument("-k", "--key-file")

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.trees import from_items, read_tree
+from ..sources.trees import SCHEMA as FILES
+from ..sources.trees import Inbox, from_items, read_tree
 from . import metadata
-from .durable import beside, filesystem, ship
+from .durable import beside, filesystem, shared_dir, ship
 
 SUFFIX = ".gfiles"
 
@@ -39,6 +40,15 @@ def compile_items(spark: SparkSession, items: list[tuple[str, bytes]], output: s
     return write_files(spark, from_items(spark, items, *_names(output)), output, meta, block_size_kb, level)
 
 
+def compile_pushed(spark: SparkSession, inbox: Inbox, n: int, output: str, meta: dict | str | None = None, block_size_kb: int = 8, level: int = 5, size: int = 64, timeout: float = 60.0) -> Archive:
+    """An archive of the next n files that a producer pushes: lots of ``size`` are written to the shared folder as they come, then sorted together."""
+    folder, names = shared_dir(spark, "pushed"), _names(output)
+    spark.createDataFrame([], FILES).write.parquet(folder)
+    for lot in inbox.batches(n, size, timeout):
+        from_items(spark, lot, *names).write.mode("append").parquet(folder)
+    return write_files(spark, spark.read.schema(FILES).parquet(folder), output, meta, block_size_kb, level)
+
+
 def safe_target(key: str) -> str | None:
     """Where a file is to go below a folder; None for a key that leads out of it."""
     at = posixpath.normpath(key.replace("\\", "/")) if key else "."

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from queue import Empty, Queue
+
 import pandas as pd
 from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
@@ -54,17 +57,33 @@ def from_items(spark: SparkSession, items: list[tuple[str, bytes]], archive: str
     return spark.createDataFrame([(name, archive, p, bytearray(b), len(b)) for p, b in items], SCHEMA)
 
 
-class Inbox:
-    """Collects pushed files until as many have come as an archive is to hold."""
-
-    def __init__(self) -> None:
-        self.items: list[tuple[str, bytes]] = []
+#: Files that an inbox holds before its producer has to wait.
+WAITING = 8
 
-    def push(self, path: str, data: bytes) -> None:
-        self.items.append((path, data))
 
-    def take(self, n: int) -> list[tuple[str, bytes]]:
-        if len(self.items) < n:
-            raise ValueError(f"{len(self.items)} files were pushed, {n} are wanted")
-        out, self.items = self.items[:n], self.items[n:]
+class Inbox:
+    """Pushed files on their way to an archive. A producer in another thread waits while WAITING of them lie here."""
+
+    def __init__(self, waiting: int = WAITING) -> None:
+        self._queue: Queue[tuple[str, bytes]] = Queue(waiting)
+        self._kept: list[tuple[str, bytes]] = []
+
+    def push(self, path: str, data: bytes, timeout: float | None = None) -> None:
+        """queue.Full if there is no room for so many seconds; without a timeout the wait has no end."""
+        self._queue.put((path, data), timeout=timeout)
+
+    def take(self, n: int, timeout: float = 60.0) -> list[tuple[str, bytes]]:
+        """The next n files; ValueError if one doesn't come for so many seconds, and what has come stays for the next call."""
+        try:
+            while len(self._kept) < n:
+                self._kept.append(self._queue.get(timeout=timeout))
+        except Empty:
+            raise ValueError(f"{len(self._kept)} files were pushed, {n} are wanted") from None
+        out, self._kept = self._kept[:n], self._kept[n:]
         return out
+
+    def batches(self, n: int, size: int = WAITING, timeout: float = 60.0) -> Iterator[list[tuple[str, bytes]]]:
+        """n files in lots of at most ``size``, so that no more of them than that are in memory at once."""
+        while n > 0:
+            yield self.take(min(n, size), timeout)
+            n -= size

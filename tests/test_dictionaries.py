@@ -1,5 +1,6 @@
 import json
 import os
+import queue
 
 import pytest
 
@@ -90,8 +91,13 @@ def test_archive(spark, tmp_path):
     box = trees.Inbox()
     box.push("p", b"1")
     with pytest.raises(ValueError, match="wanted"):
-        box.take(2)
+        box.take(2, 0.1)
     assert box.take(1) == [("p", b"1")]
+    for i in range(trees.WAITING):
+        box.push(f"p{i}", b"", 1)
+    with pytest.raises(queue.Full):  # the producer waits
+        box.push("more", b"", 0.1)
+    assert [len(x) for x in box.batches(8, 3, 1)] == [3, 3, 2]
 
 
 def test_catalog(spark, tmp_path):
