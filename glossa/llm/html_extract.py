@@ -9,8 +9,10 @@ fields, ``template``, ``svg`` and ``select`` is not.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import materialize, ship, sized_join
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|(?P<loose>/?[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.DOTALL)
-_ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
+#: Every attribute is read, with its value, so that none begins inside of another's name or value.
+_ATTR = re.compile(r"""([^\s"'>/=][^\s"'>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?|"[^"]*"|'[^']*'""")
+_READ = frozenset("class id role style hidden aria-hidden itemprop".split())
 #: Their content is no markup; without an end tag it reaches to the end of the page.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Content that isn't shown as text of the page; without an end tag only the tag is passed over.
@@ -40,13 +44,20 @@ JUNK = frozenset(
 GOOD = frozenset("article content entry main post story text body".split())
 #: Of these, what names layout as often as it names content; a subtree of such a class stays if it holds most of the running text.
 LAYOUT = frozenset("sidebar side widget widgets overlay modal popup banner banners notice notices social share sharing shares menu nav navbar navigation toolbar masthead search form forms skip alert teaser teasers promo promos promotion toc".split())
+#: A class that begins with a word of JUNK is junk only if the words after it are such, or those: related-posts is, related-work isn't.
+COMPANIONS = frozenset(
+    "a an and the of to for in on at by my our your post posts link links article articles story stories topic topics news product products list lists item items box boxes block blocks section sections container containers "
+    "wrapper wrap inner outer holder bar bars left right top bottom main primary secondary tertiary area areas zone zones region button buttons btn icon icons content contents panel panels header head title heading text body message messages "
+    "input field slot slots unit units space place placeholder frame site page pages global local mobile desktop sticky fixed floating float media email count counts counter meta info nav thread tree feed grid row col column columns card cards group groups set "
+    "policy bg background image images img logo label labels tag tags level small large big mini wide up down open closed close toggle trigger new more first last author date view views module component element".split()
+)
 HIDDEN = frozenset("hidden is-hidden visually-hidden".split())
 NEGATED = frozenset("no has with without is not hide".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 _DIGITS = re.compile(r"\d+")
 #: A path wins in its host if at least this share of its pages elect it, so there are at most ten.
 MIN_SHARE = 0.1
-#: Paths name this many nested containers.
+#: The path of a container deeper than this is a hash of its segment and the path around it, so that no path grows with the depth.
 DEEPEST = 64
 
 
@@ -63,7 +74,9 @@ def _junk(attrs: dict[str, str], tag: str) -> str:
             continue
         if name.lower() in HIDDEN:  # only by its whole name: overflow-hidden and hidden-xs are shown
             why = why or "layout"
-        words = {sub[0]} if len(sub) > 1 and sub[-2] in NEGATED else {sub[0], sub[-1]}  # content-with-sidebar is none
+        words = {sub[0]} if all(x in JUNK or x in COMPANIONS for x in sub[1:]) else set()
+        if len(sub) < 2 or sub[-2] not in NEGATED:  # content-with-sidebar is none
+            words.add(sub[-1])
         if sub[0] != "is" and (words := words & JUNK):
             if words - LAYOUT:
                 return "named"
@@ -85,6 +98,7 @@ class Page:
         self.paths, self.parent, self.weight, self.last = ["html"], [-1], [0.1], [0]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         stack: list[tuple[str, int, bool, int]] = []  # tag, container outside of it, whether what is outside counts, suspect outside of it
+        open_: Counter[str] = Counter()  # how many of a tag are in the stack
         node, counts, link, linked, text, suspect = 0, True, 0, 0, [], 0
         suspects: list[tuple[int, str]] = [(-1, "")]  # subtrees that are junk by their class alone: the one outside, why
         within: list[int] = []  # the suspect of each block
@@ -139,29 +153,34 @@ class Page:
             if name in VOID:
                 continue
             if closing:
-                if name not in CONTAINERS and name not in OUT and not any(t == name for t, *_ in stack):
+                if not open_[name]:
                     continue
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        new = stack[i]
-                        del stack[i:]
-                        while node != new[1]:
-                            self.last[node] = len(self.paths) - 1
-                            node = self.parent[node]
-                        counts, suspect, link = new[2], new[3], 0
+                while True:
+                    new = stack.pop()
+                    open_[new[0]] -= 1
+                    if new[0] == name:
                         break
+                while node != new[1]:
+                    self.last[node] = len(self.paths) - 1
+                    node = self.parent[node]
+                counts, suspect, link = new[2], new[3], 0
                 continue
             while stack and stack[-1][0] == "p":  # a block ends an open paragraph
                 _, _, counts, suspect = stack.pop()
+                open_["p"] -= 1
             container = name in CONTAINERS
-            if name == "html" or (name == "body" and any(t == "body" for t, *_ in stack)):
+            if name == "html" or (name == "body" and open_["body"]):
                 continue
-            attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(rest)} if rest and not rest.isspace() else {}
+            attrs: dict[str, str] = {}
+            for k, a, b, c in _ATTR.findall(rest) if rest and not rest.isspace() else ():
+                if (k := k.lower()) in _READ:
+                    attrs.setdefault(k, a or b or c or "")
             why = _junk(attrs, name) if attrs else ""
-            out = (name in OUT and (name != "header" or not any(t in ("article", "main") for t, *_ in stack))) or why == "sure"
+            out = (name in OUT and (name != "header" or not (open_["article"] or open_["main"]))) or why == "sure"
             if not container and not out and not why:
                 continue  # paragraphs and the like only part blocks
             stack.append((name, node, counts, suspect))
+            open_[name] += 1
             if out:
                 counts = False
             elif why and counts:
@@ -171,8 +190,8 @@ class Page:
                 classes = sorted({_DIGITS.sub("#", x.lower()) for x in attrs.get("class", "").split()})
                 sub = {x.lower() for x in _SUB.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
                 good = name in ("article", "main") or attrs.get("role", "") in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
-                deep = len(stack) > DEEPEST  # what lies deeper shares its ancestor's path
-                self.paths.append(self.paths[node] if deep else f"{self.paths[node]}>{name}" + "".join(f".{x}" for x in classes))
+                path = f"{self.paths[node]}>{name}" + "".join(f".{x}" for x in classes)
+                self.paths.append(path if len(stack) <= DEEPEST else "#" + hashlib.md5(path.encode("utf-8", "surrogatepass")).hexdigest())
                 self.parent.append(node)
                 self.weight.append({"article": 2.0, "main": 1.7}.get(name, 1.7) if good else 1.5 if sub & GOOD and name != "body" else 0.6 if name == "body" else 1.0)
                 self.last.append(0)

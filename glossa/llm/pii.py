@@ -197,21 +197,29 @@ class _Normalised:
         return self.offset(s, False), self.offset(e, True)
 
 
-def added_spans(text: str, base: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
-    """Spans by kind that only show in the normalised text, as source offsets.
+def _overlaps(spans: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+    """Which of some ascending spans that lie apart overlap a .. b."""
+    lo, hi = bisect.bisect_left(spans, (a,)), bisect.bisect_left(spans, (b,))
+    if lo and spans[lo - 1][1] > a:
+        lo -= 1
+    return spans[lo:hi]
+
+
+def added_spans(text: str, base: list[list[tuple[int, int]]], gate: bool = True) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
+    """Spans by kind that only show in the normalised text, as source offsets; and those that a base span of the kind lies in, which only redaction needs.
 
     Bare words for @ are undone last, for addresses in what is left: a word before a disguised address isn't its local part (``me at john.doe (at)
     example (dot) com``). An address joined by one needs a disguised dot too (``look at example.com`` is prose, ``ann at example dot com`` is not), and of
-    two that share their middle the second is taken if its domain has one (``me at ann dot lee at example dot com``).
+    two that share their middle the second is taken if its domain has one (``me at ann dot lee at example dot com``). gate: pass texts over that ``suspicious``
+    clears, which changes no result.
     """
     found: list[list[tuple[int, int]]] = [[], [], [], []]
-    if not suspicious(text):
-        return found
+    wider: list[list[tuple[int, int]]] = [[], [], [], []]
+    if gate and not suspicious(text):
+        return found, wider
 
     def free(kind: int, a: int, b: int) -> bool:
-        taken = found[kind]
-        i = bisect.bisect_left(taken, (b,))  # ascending and apart, so only the one before b can overlap
-        return (not i or taken[i - 1][1] <= a) and not any(x < b and a < y for x, y in base[kind])
+        return not _overlaps(found[kind], a, b) and not _overlaps(base[kind], a, b)
 
     norm = _Normalised(text, False)
     for kind, finder in enumerate(_FINDERS):
@@ -220,9 +228,11 @@ def added_spans(text: str, base: list[list[tuple[int, int]]]) -> list[list[tuple
                 a, b = norm.source(s, e)
                 if free(kind, a, b):
                     found[kind].append((a, b))
+                elif any(a <= x and y <= b for x, y in _overlaps(base[kind], a, b)):
+                    wider[kind].append((a, b))
     dots = {"dot", "bdot"}
     if not any(x[4] in dots for x in norm.edits):
-        return found
+        return found, wider
     norm = _Normalised(text, True)
 
     def wanted(s: int, e: int) -> bool:
@@ -234,15 +244,27 @@ def added_spans(text: str, base: list[list[tuple[int, int]]]) -> list[list[tuple
 
     more = [norm.source(s, e) for s, e in emails(norm.text, wanted)]
     found[0] = sorted(found[0] + more)
-    return found
+    return found, wider
 
 
 def scan(text: str | None) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
     """Base spans and all spans, by kind, ascending."""
-    text = text or ""
+    base, every, _ = _scan(text or "")
+    return base, every
+
+
+def _scan(text: str) -> tuple[list[list[tuple[int, int]]], ...]:
     base = base_spans(text)
-    extra = added_spans(text, base)
-    return base, [sorted(b + x) if x else b for b, x in zip(base, extra, strict=True)]
+    extra, wider = added_spans(text, base)
+    return base, [sorted(b + x) if x else b for b, x in zip(base, extra, strict=True)], wider
+
+
+def cleaned(text: str | None) -> str | None:
+    """The text without personal data: all spans, and of a base span in a wider disguised one (``ann (dot) lee@example.com``) that one, give way to their kinds."""
+    if text is None:
+        return None
+    _, every, wider = _scan(text)
+    return redact(text, [sorted(a + b) if b else a for a, b in zip(every, wider, strict=True)])
 
 
 def listed(spans: list[list[tuple[int, int]]]) -> str:
@@ -277,13 +299,13 @@ def detect(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", tex
         for b in batches:
             counts, sha, spans, texts = [[], [], [], []], [], [], []
             for t in b.column(1).to_pylist():
-                base, every = scan(t)
+                base, every, wider = _scan(t or "")
                 for c, own in zip(counts, every, strict=True):
                     c.append(len(own))
                 sha.append(hashlib.sha256(listed(base).encode()).hexdigest())
                 spans.append(listed(every))
                 if with_text:
-                    texts.append(None if t is None else redact(t, every))
+                    texts.append(None if t is None else redact(t, [sorted(a + w) for a, w in zip(every, wider, strict=True)]))
             cols = [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(spans, pa.string())]
             names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
             if with_text:
@@ -300,6 +322,6 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("string")
     def clean(t: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else redact(x, scan(x)[1]) for x in t.to_pylist()], pa.string())
+        return pa.array([cleaned(x) for x in t.to_pylist()], pa.string())
 
     return docs.withColumn(text_col, clean(F.col(text_col)))

@@ -1,9 +1,10 @@
 """Token ids in binary files whose document boundaries are Elias-Fano coded.
 
 A shard is two files. ``<shard>.ids`` is the concatenated id array, little-endian, 2 bytes an id where the vocabulary allows it, else 4.
-``<shard>.ef`` holds the document ids and the cumulative ends of the documents: with n documents and u ids the low
+``<shard>.ef`` holds the cumulative ends of the documents: with n documents and u ids the low
 ``floor(log2(u / n))`` bits of each end are packed, the high ones are a unary bit vector with the bit position of every 64th one stored
-beside it, about ``2 + log2(u / n)`` bits a document altogether. ``select`` finds any boundary from those without decoding the rest.
+beside it (in 4 bytes, where they are enough), about ``2.5 + log2(u / n)`` bits a document altogether. ``select`` finds any boundary from those without decoding the
+rest. The document ids, which ascend, are a second such sequence of their distances from the first.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import filesystem, parts_for, shared_dir, ship
 
-MAGIC = b"GLEF1\0\0\0"
+MAGIC = b"GLEF2\0\0\0"
 EVERY = 64
 
 
@@ -43,7 +44,8 @@ class EliasFano:
         ones = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
-        return cls(n, low_bits, np.packbits(bits, bitorder="little"), np.packbits(high, bitorder="little"), ones[::EVERY].astype(np.uint64))
+        marks = ones[::EVERY].astype(np.uint32 if len(high) < 1 << 32 else np.uint64)
+        return cls(n, low_bits, np.packbits(bits, bitorder="little"), np.packbits(high, bitorder="little"), marks)
 
     def select(self, i: int) -> int:
         """The i-th value: from the nearest mark, over at most 64 ones, plus its low bits."""
@@ -76,36 +78,45 @@ class EliasFano:
             v |= bits[b : self.n * self.low_bits : self.low_bits].astype(np.uint64) << np.uint64(b)
         return v.astype(np.int64)
 
+    @property
+    def size(self) -> int:
+        """Bytes that to_bytes gives."""
+        return 48 + self.nbytes
+
     def to_bytes(self) -> bytes:
-        head = struct.pack("<5Q", self.n, self.low_bits, len(self.low), len(self.high), len(self.marks))
+        head = struct.pack("<6Q", self.n, self.low_bits, len(self.low), len(self.high), len(self.marks), self.marks.itemsize)
         return head + self.low.tobytes() + self.high.tobytes() + self.marks.tobytes()
 
     @classmethod
     def from_bytes(cls, b: bytes) -> EliasFano:
-        n, low_bits, x, y, z = struct.unpack_from("<5Q", b)
-        low, high = np.frombuffer(b, np.uint8, x, 40), np.frombuffer(b, np.uint8, y, 40 + x)
-        return cls(n, low_bits, low, high, np.frombuffer(b, np.uint64, z, 40 + x + y))
+        n, low_bits, x, y, z, w = struct.unpack_from("<6Q", b)
+        low, high = np.frombuffer(b, np.uint8, x, 48), np.frombuffer(b, np.uint8, y, 48 + x)
+        return cls(n, low_bits, low, high, np.frombuffer(b, f"<u{w}", z, 48 + x + y))
 
     @property
     def nbytes(self) -> int:
-        return len(self.low) + len(self.high) + 8 * len(self.marks)
+        return len(self.low) + len(self.high) + self.marks.nbytes
 
 
 def pack_index(doc_ids: list[int | None], ends: np.ndarray, width: int) -> bytes:
-    """Contents of an .ef file."""
-    ids = np.array([x or 0 for x in doc_ids], "<i8").tobytes()
-    absent = np.packbits(np.array([x is None for x in doc_ids], np.uint8), bitorder="little").tobytes()
-    return MAGIC + struct.pack("<QQ", width, len(doc_ids)) + ids + absent + EliasFano.build(ends).to_bytes()
+    """Contents of an .ef file. The ids ascend, absent ones first."""
+    absent = sum(x is None for x in doc_ids)
+    ids = np.array(doc_ids[absent:], np.int64)
+    first = int(ids[0]) if len(ids) else 0
+    with np.errstate(over="ignore"):
+        away = EliasFano.build(ids.view(np.uint64) - np.uint64(first % 2**64))  # modulo 2^64, so that any two ids may meet
+    return MAGIC + struct.pack("<QQq", width, absent, first) + away.to_bytes() + EliasFano.build(ends).to_bytes()
 
 
 def unpack_index(b: bytes) -> tuple[int, list[int | None], EliasFano]:
     """Bytes an id, document ids and ends of an .ef file."""
     if b[:8] != MAGIC:
         raise ValueError("not a boundary file")
-    width, n = struct.unpack_from("<QQ", b, 8)
-    absent = np.unpackbits(np.frombuffer(b, np.uint8, -(-n // 8), 24 + 8 * n), bitorder="little")
-    ids = [None if absent[i] else x for i, x in enumerate(np.frombuffer(b, "<i8", n, 24).tolist())]
-    return width, ids, EliasFano.from_bytes(b[24 + 8 * n + -(-n // 8) :])
+    width, absent, first = struct.unpack_from("<QQq", b, 8)
+    away = EliasFano.from_bytes(b[32:])
+    with np.errstate(over="ignore"):
+        ids = (away.decode().view(np.uint64) + np.uint64(first % 2**64)).view(np.int64)
+    return width, [None] * absent + ids.tolist(), EliasFano.from_bytes(b[32 + away.size :])
 
 
 class Reader:
@@ -303,8 +314,8 @@ def read_tokens(spark, files: list[tuple[int, str, int, int]]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read back from the files: one task a file, documents in slices."""
     ship(spark)
     rows, start = [], 0
-    for _, stem, _, n in files:
-        rows.append((stem, start))
+    for at, (_, stem, _, n) in enumerate(files):
+        rows.append((at, stem, start))
         start += n
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not rows:
@@ -312,7 +323,7 @@ def read_tokens(spark, files: list[tuple[int, str, int, int]]) -> DataFrame:
 
     def read(batches):
         for b in batches:
-            for stem, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for stem, first in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 r = Reader(stem)
                 ends = r.ends.decode()
                 starts = np.concatenate([[0], ends[:-1]])
@@ -323,5 +334,5 @@ def read_tokens(spark, files: list[tuple[int, str, int, int]]) -> DataFrame:
                     cols = [pa.array(r.doc_ids[lo:hi], pa.int64()), pa.array(starts[lo:hi] + first), pa.array(ends[lo:hi] - starts[lo:hi]), pa.array(crc, pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    d = spark.createDataFrame(rows, "stem string, start long").repartitionById(len(rows), F.pmod(F.col("start"), F.lit(len(rows))).cast("int"))
+    d = spark.createDataFrame(rows, "at int, stem string, start long").repartitionById(len(rows), "at")
     return d.mapInArrow(read, schema)

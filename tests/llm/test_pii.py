@@ -111,3 +111,38 @@ def test_detect(spark):
     assert sha[2] == hashlib.sha256(b"").hexdigest() and sha[1] == hashlib.sha256(b"email:5:11").hexdigest()
     assert pii.detect(df.limit(0)).count() == 0
     assert [r.text for r in pii.redacted(df).collect()] == ["mail <EMAIL>", None, "", "mail <EMAIL>", "<PHONE>"]
+
+
+def test_the_pre_test_changes_no_result():
+    rng = random.Random(12)
+    parts = ["ann", "at", "dot", " at ", " dot ", "(at)", "[dot]", "@", ".", "plus", "plus ", "+", "one", "two ", "seven-one", "4111", " ", "192", "168", "１", "а", "​", "example", "com", ", ", "one.one", "\n", "44 20 7946 0958", "nine", "K", "ſix", "zero,", "x", "_", "é"]
+    odd = 0
+    for _ in range(6000):
+        t = "".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.randrange(1, 14)))
+        base = pii.base_spans(t)
+        got = pii.added_spans(t, base)
+        assert got == pii.added_spans(t, base, gate=False), t
+        odd += any(got[0])
+    assert odd > 100
+    for t in ("call plus 44 20 7946 0958", "plus four four 2079460958 now", "192.168.one.one"):
+        assert any(pii.added_spans(t, pii.base_spans(t))[0]), t
+
+
+def test_redaction_covers_what_a_base_span_is_part_of():
+    t = "alice (dot) wong@example.com and bob@example.com"
+    base, every = pii.scan(t)
+    assert base[0] == every[0] and len(base[0]) == 2
+    assert pii.cleaned(t) == "<EMAIL> and <EMAIL>" and pii.cleaned(None) is None and pii.cleaned("") == ""
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    took = []
+    for n in (1000, 8000):
+        t = "ann@example.com bob (at) example (dot) org " * n
+        start = time.process_time()
+        base, every = pii.scan(t)
+        took.append(time.process_time() - start)
+        assert len(base[0]) == n and len(every[0]) == 2 * n
+    assert took[1] < 24 * max(took[0], 0.05)

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -303,3 +304,90 @@ def test_hosts_agree_on_a_path(spark):
     got = [(r.page_id, r.text) for r in html_extract.extract(df).collect()]
     assert sorted(map(str, got)) == sorted(map(str, [*((i, f"{text} {i}") for i in range(20)), (20, text), (21, "alone"), (22, ""), (None, ""), (20, "again")]))
     assert html_extract.extract(df).columns == ["page_id", "url", "text", "n_chars"] and html_extract.extract(df.limit(0)).count() == 0
+
+
+class Brute(HTMLParser):
+    """The blocks of the article by the standard library's parser: an independent version for pages whose junk is marked plainly."""
+
+    BLOCK = frozenset("p h1 h2 h3 ul ol li div section blockquote article aside nav footer header form table tr td th pre figure figcaption br hr".split())
+    VOID = frozenset("br hr img".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.text = [], [], []
+
+    def flush(self):
+        if s := " ".join("".join(self.text).split()):
+            self.blocks.append(s)
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCK:
+            self.flush()
+        if tag not in self.VOID:
+            self.stack.append((tag, dict(attrs).get("class") or ""))
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCK:
+            self.flush()
+        while self.stack and self.stack.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        tags = {t for t, _ in self.stack}
+        if "article" in tags and not tags & {"script", "style", "aside", "nav", "footer", "form"} and not any(c in ("share-links", "ad", "comments", "related-posts") for _, c in self.stack):
+            self.text.append(data)
+
+
+def random_page(rng):
+    word = lambda: rng.choice(["alpha", "béta", "&amp;", "g&eacute;n", "x &lt; y", "&#8212;", "del\nta", "&nbsp;", "o<b>me</b>ga", "<i>kap</i>pa", "<a href='/x'>rho</a>", "<!-- no -->", "<span title=\"class=ad\">tau</span>", "1 < 2", "AT&T"])
+    text = lambda n: " ".join(["Sentences of running text, long enough."] + [word() for _ in range(rng.randrange(1, n))])
+
+    def block(depth):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "quote", "div", "junk", "script", "named"])
+        if kind in ("p", "h2"):
+            return f"<{kind}>{text(12)}</{kind}>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{word()}</li>" for _ in range(rng.randrange(1, 5))) + "</ul>"
+        if kind == "quote":
+            return f"<blockquote><p>{text(8)}</p></blockquote>"
+        if kind == "div" and depth < 5:
+            return f"<div class='part-{rng.randrange(9)}' data-hidden='true' data-role=\"menu\">{''.join(block(depth + 1) for _ in range(rng.randrange(1, 4)))}</div>"
+        if kind == "junk":
+            return rng.choice(["<aside><p>%s</p></aside>", "<div class='share-links'><a href=/>%s</a></div>", "<div class=ad>%s</div>", "<nav><a href=/>%s</a></nav>", "<form><p>%s</p></form>", "<div class='related-posts'><a href=/>%s</a></div>"]) % text(4)
+        if kind == "script":
+            return "<script>var a = '<p>no</p>';</script>"
+        name = rng.choice(["share-price", "side-effects", "related-work", "search-algorithms", "widget-factory", "overflow-hidden"])
+        return f"<div class='{name}'><p>{text(10)}</p></div>"
+
+    body = "".join(block(0) for _ in range(rng.randrange(3, 9)))
+    return f"<html><head><title>T</title></head><body><nav><a href=/>Home</a> <a href=/a>About</a></nav><article><h1>{text(3)}</h1><p>{text(30)}</p>{body}</article><footer>Some footer text, all rights reserved.</footer></body></html>"
+
+
+def test_extraction_equals_a_brute_force_version():
+    rng = random.Random(21)
+    for _ in range(400):
+        page = random_page(rng)
+        b = Brute()
+        b.feed(page)
+        b.close()
+        b.flush()
+        assert html_extract.extract_one(page) == " ".join(b.blocks), page
+
+
+@pytest.mark.parametrize("name", ["share-price", "side-effects", "related-work", "search-algorithms", "widget-factory"])
+def test_classes_that_begin_like_junk(name):
+    page = f"<body><article><p>{'A first paragraph of running text. ' * 9}</p><div class='{name}'><p>And a part of the same article.</p></div></article></body>"
+    assert html_extract.extract_one(page).endswith("And a part of the same article.")
+
+
+def test_stray_tags_and_depth_take_linear_time():
+    import time
+
+    body = "<p>" + "A paragraph of running text. " * 20 + "</p>"
+    for page in ("<div>" * 20_000 + body + "</section>" * 20_000, "<div class=a>" * 20_000 + body, "<p><b>" * 20_000 + body + "</i></article></td>" * 20_000):
+        start = time.process_time()
+        assert "A paragraph of running text." in html_extract.extract_one(page)
+        assert time.process_time() - start < 8
+    deep = [html_extract.Page("<div>" * 100 + f"<div class={c}>" + body).paths[-1] for c in "ab"]
+    assert deep[0] != deep[1] and max(map(len, deep)) < 40

@@ -76,3 +76,13 @@ def test_write_and_read_back(spark):
     r = T.Reader(files[0][1])
     assert sum(len(r[i]) for i in range(len(r))) == files[0][3]
     assert T.read_tokens(spark, T.write_tokens(df.limit(0), PATH)).count() == 0
+
+
+def test_document_ids_are_coded():
+    rng = random.Random(9)
+    for ids in ([], [None], [None, None, 5], [-(2**63), -1, 0, 2**63 - 1], sorted(rng.randrange(-1000, 10**6) for _ in range(3000)), [7] * 50):
+        ends = np.cumsum([rng.randrange(40) for _ in ids])
+        width, back, ef = T.unpack_index(T.pack_index(ids, ends, 2))
+        assert width == 2 and back == ids and ef.decode().tolist() == ends.tolist()
+    ids = list(range(100_000, 200_000))
+    assert len(T.pack_index(ids, np.arange(100_000) * 300, 2)) < 100_000 * 1.8
