@@ -7,7 +7,7 @@ lattice, and folded with Spark's higher-order ``aggregate``:
 * ``bpe`` piece tables: the edges are applied in the order of their scores, leftmost first, each joining two neighbours. A BPE model's
   scores are ranks, so a highest sum isn't what its library returns; this fold is, id by id.
 
-Words are pieces of text that no piece can span: they end before a space mark and wherever two neighbours occur side by side in no piece. Texts
+Words are pieces of text that no piece can span: they end wherever two neighbours occur side by side in no piece, so before a space mark too. Texts
 aren't shuffled: each partition of the documents sends its distinct words, gets a dictionary file back and assembles its texts with it. What a
 dictionary doesn't hold (words too long to explode, or rows that another attempt placed elsewhere) is folded on the spot with the same result.
 """
@@ -18,8 +18,7 @@ import heapq
 import re
 import zlib
 from collections import defaultdict
-from itertools import chain
-from operator import add
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +31,10 @@ from .common import filesystem, materialize, released, shared_dir, ship
 MARK = "▁"
 #: Words up to this many code points are exploded; longer ones are folded where they are met.
 LONGEST = 48
-#: Words that a worker remembers before it starts afresh, words that it collects before it sends them, and rows that it handles at once.
-REMEMBERED, COLLECTED, SLICE = 100_000, 50_000, 500
-#: Words that are cut at once.
-BULK = 20_000
+#: Words folded on the spot that a worker remembers before it starts afresh, words that it collects before it sends them, and rows that it handles at once.
+REMEMBERED, COLLECTED, SLICE = 100_000, 200_000, 500
+#: Characters that are cut at once.
+BULK = 1 << 20
 #: Distinct words of a task that folds lattices: their edges fit its memory.
 PART_WORDS = 25_000
 #: Characters below this number are found in an array.
@@ -58,6 +57,7 @@ class Pieces:
         self.byte_of = {i: b for b, i in enumerate(byte_ids or [])}
         self.bytes_of |= {i: bytes([b]) for i, b in self.byte_of.items()}
         self._beside: np.ndarray | None = None
+        self.apart = not any(p[1] == MARK != p[0] for p in self.pairs)  # whether a mark after another character begins a word
         self.spelled = np.empty(max(self.bytes_of, default=0) + 1, object)
         for i, b in self.bytes_of.items():
             self.spelled[i] = b
@@ -80,41 +80,70 @@ class Pieces:
 
     # ---- words
 
-    def atoms(self, word: str) -> list[str]:
-        """The parts of a word between neighbours that occur side by side in no piece."""
-        pairs = self.pairs
-        cuts = [i for i, x in enumerate(map(add, word, word[1:]), 1) if x not in pairs]
-        if not cuts:
-            return [word]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
-
-    def atoms_of(self, words: list[str]) -> list[list[str]]:
-        """``atoms`` of many words at once: neighbours below 1024 are looked up in a square table, others one by one."""
-        if not words:
-            return []
+    def cut(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[str], list[int]]]:
+        """The words of some texts, a bounded number of characters at a time: which text each run of them belongs to, the words of all runs, and where each run ends."""
+        run, of, size = [], [], 0
+        for at, t in enumerate(texts):
+            if not t:
+                continue
+            t = (MARK if self.prefix else "") + t.replace(" ", MARK)
+            for part in self._bounded(t) if len(t) > BULK else (t,):
+                if size and size + len(part) > BULK:
+                    yield of, *self._words(run)
+                    run, of, size = [], [], 0
+                run.append(part)
+                of.append(at)
+                size += len(part)
+        if run:
+            yield of, *self._words(run)
+
+    def _bounded(self, marked: str) -> Iterator[str]:
+        """A long text in parts that end where no piece can span: before a mark after another character, if there is one."""
+        lo = 0
+        while self.apart and len(marked) - lo > BULK:
+            hi = marked.rfind(MARK, lo + 1, lo + BULK)
+            while hi > lo + 1 and marked[hi - 1] == MARK:
+                hi -= 1
+            if hi <= lo + 1 and not (m := _START.search(marked, lo + 1)):
+                break
+            hi = hi if hi > lo + 1 else m.start() + 1
+            yield marked[lo:hi]
+            lo = hi
+        yield marked[lo:]
+
+    def _words(self, runs: list[str]) -> tuple[list[str], list[int]]:
+        """Neighbours below 1022, and marks, are looked up in a square table, others in a sorted list."""
         if self._beside is None:
-            self._beside = np.zeros((1024, 1024), bool)
+            self._beside = np.zeros(1 << 20, bool)
+            odd = set()
             for x in self.pairs:
                 a, b = (1023 if c == MARK else ord(c) for c in x)
-                if max(a, b) < 1024:
-                    self._beside[a, b] = True
-        text = "".join(words)
+                if max(a, b) < 1024 and 1022 not in (a, b) and not (1023 in (a, b) and "\u03ff" in x):
+                    self._beside[a << 10 | b] = True
+                else:
+                    odd.add(ord(x[0]) << 32 | ord(x[1]))
+            self._odd = np.array(sorted(odd), np.int64)
+        text = "".join(runs)
         c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        odd = c == 1023
-        c = np.where(c == ord(MARK), 1023, c)
-        a, b = c[:-1], c[1:]
-        small = (np.maximum(a, b) < 1024) & ~odd[:-1] & ~odd[1:]
-        cut = np.zeros(len(c), bool)
-        cut[:-1][small] = ~self._beside[a[small], b[small]]
-        for i in np.flatnonzero(~small).tolist():
-            cut[i] = text[i : i + 2] not in self.pairs
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        cut[ends - 1] = True
-        stops = np.flatnonzero(cut) + 1
-        upto = np.searchsorted(stops, ends, "right").tolist()
-        stops = stops.tolist()
-        parts = [text[s:e] for s, e in zip([0, *stops[:-1]], stops, strict=True)]
-        return [parts[s:e] for s, e in zip([0, *upto[:-1]], upto, strict=True)]
+        mark = c == ord(MARK)
+        k = np.where(mark, 1023, np.minimum(c, 1022)).astype(np.int32)
+        joined = self._beside[k[:-1] << 10 | k[1:]]
+        big = np.flatnonzero(k == 1022)
+        if len(big):
+            at = np.unique(np.concatenate([big - 1, big]))
+            at = at[(at >= 0) & (at < len(c) - 1)]
+            code = c[at].astype(np.int64) << 32 | c[at + 1].astype(np.int64)
+            found = np.searchsorted(self._odd, code)
+            joined[at] = (found < len(self._odd)) & (self._odd[np.minimum(found, len(self._odd) - 1)] == code) if len(self._odd) else False
+        ends = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
+        joined[ends[:-1] - 1] = False
+        stops = np.flatnonzero(~joined) + 1
+        if "\0" in text:
+            s = stops.tolist()
+            words = [text[a:b] for a, b in zip([0, *s], [*s, len(text)], strict=True)]
+        else:  # split by the interpreter, much faster than slices
+            words = np.insert(c, stops, 0).tobytes().decode("utf-32-le", "surrogatepass").split("\0")
+        return words, (np.searchsorted(stops, ends, "left") + 1).tolist()
 
     # ---- the folds in Python, for what isn't in a dictionary
 
@@ -173,17 +202,7 @@ class Pieces:
         return s[1:] if self.prefix and s.startswith(" ") else s
 
 
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-
-
-def words_of(text: str, prefix: bool = True) -> list[str]:
-    """The words of a text with their marks. Joined they are the marked text."""
-    return _WORD.findall((MARK if prefix else "") + text.replace(" ", MARK)) if text else []
-
-
-def _plain(text: str) -> bool:
-    """Whether every word has exactly one mark, so that splitting at spaces finds them all."""
-    return bool(text) and "  " not in text and text[0] != " " and text[-1] != " " and MARK not in text
+_START = re.compile(f"[^{MARK}]{MARK}")
 
 
 # ---- the lattice in Spark
@@ -282,58 +301,32 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 # ---- dictionaries
 
 
-class _Memo(dict):
-    """Packed ids, worked out when a word is first met; starts afresh when it holds REMEMBERED."""
+class Speller(dict):
+    """Packed ids of words: those of a dictionary, and what the folds give for others, a bounded number of which is remembered."""
 
-    def __init__(self, of) -> None:
-        super().__init__()
-        self.of = of
+    def __init__(self, pieces: Pieces, known: dict[str, bytes] | None = None) -> None:
+        super().__init__(known or {})
+        self.pieces, self.other = pieces, {}
 
     def __missing__(self, w: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        got = self[w] = self.of(w)
+        got = self.other.get(w)
+        if got is None:
+            got = np.array(self.pieces.fold(w), "<i4").tobytes()
+            if len(w) <= LONGEST:
+                if len(self.other) >= REMEMBERED:
+                    self.other.clear()
+                self.other[w] = got
         return got
 
-
-class Speller:
-    """Ids of words, as packed int32, from a dictionary of atoms and the folds for the rest."""
-
-    def __init__(self, pieces: Pieces, known: dict[str, bytes] | None = None) -> None:
-        self.pieces, self.known = pieces, known or {}
-        self.plain, self.other = _Memo(lambda w: self.word(MARK + w)), _Memo(lambda a: np.array(pieces.fold(a), "<i4").tobytes())
-
-    def atom(self, a: str) -> bytes:
-        got = self.known.get(a)
-        return got if got is not None else self.other[a] if len(a) <= LONGEST else self.other.of(a)
-
-    def word(self, w: str) -> bytes:
-        own = self.pieces.atoms(w)
-        return self.atom(own[0]) if len(own) == 1 else b"".join(map(self.atom, own))
-
-    def prepare(self, texts: list[str | None]) -> None:
-        """Work out the new words of some texts together."""
-        new: set[str] = set()
-        for t in texts:
-            if self.pieces.prefix and t and _plain(t):
-                new.update(t.split(" "))
-        words = [w for w in new if w not in self.plain]
-        if len(self.plain) + len(words) > REMEMBERED:
-            self.plain.clear()
-            words = list(new)
-        for lo in range(0, len(words), BULK):
-            some = words[lo : lo + BULK]
-            for w, own in zip(some, self.pieces.atoms_of([MARK + w for w in some]), strict=True):
-                self.plain[w] = self.atom(own[0]) if len(own) == 1 else b"".join(map(self.atom, own))
-
-    def text(self, t: str | None) -> np.ndarray:
-        if not t:
-            return np.empty(0, np.int32)
-        if self.pieces.prefix and _plain(t):
-            raw = b"".join(map(self.plain.__getitem__, t.split(" ")))
-        else:
-            raw = b"".join(map(self.word, words_of(t, self.pieces.prefix)))
-        return np.frombuffer(raw, "<i4")
+    def texts(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        for of, words, ends in self.pieces.cut(texts):
+            start = 0
+            for at, end in zip(of, ends, strict=True):
+                out[at].append(b"".join(map(self.__getitem__, words[start:end])))
+                start = end
+        return [np.frombuffer(x[0] if len(x) == 1 else b"".join(x), "<i4") for x in out]
 
 
 def _load_dictionary(folder: str, chunk: int) -> dict[str, bytes]:
@@ -362,37 +355,18 @@ def _dictionaries(docs: DataFrame, pieces: Pieces, text_col: str) -> str:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId()
-        plain: set[str] = set()  # words after one mark, without it
-        words: set[str] = set()
-        atoms: set[str] = set()
-        waiting: list[str] = []  # words of plain that aren't cut yet
+        new: set[str] = set()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if not t:
-                    continue
-                if pieces.prefix and _plain(t):
-                    new = set(t.split(" ")) - plain
-                    plain |= new
-                    waiting += new
-                else:
-                    new = set(words_of(t, pieces.prefix)) - words
-                    words |= new
-                    for w in new:
-                        atoms.update(pieces.atoms(w))
-                if len(waiting) > BULK:
-                    atoms.update(chain.from_iterable(pieces.atoms_of([MARK + w for w in waiting])))
-                    waiting = []
-                if len(plain) + len(words) > REMEMBERED:
-                    plain, words = set(), set()
-                if len(atoms) > COLLECTED:
-                    yield send(chunk, atoms)
-                    atoms = set()
-        atoms.update(chain.from_iterable(pieces.atoms_of([MARK + w for w in waiting])))
-        if atoms:
-            yield send(chunk, atoms)
-
-    def send(chunk: int, atoms: set[str]):
-        own = [a for a in atoms if 1 < len(a) <= LONGEST and "\0" not in a]
+            for _, words, _ in pieces.cut(b.column(0).to_pylist()):
+                new.update(words)
+                if len(new) > COLLECTED:
+                    yield send(chunk, new)
+                    new = set()
+        if new:
+            yield send(chunk, new)
+
+    def send(chunk: int, new: set[str]):
+        own = [a for a in new if 1 < len(a) <= LONGEST and "\0" not in a]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk, np.int32)), pa.array(own, pa.string())], names=["chunk", "word"])
 
     pairs = docs.select(F.col(text_col)).mapInArrow(released(distinct), "chunk int, word string")
@@ -474,9 +448,7 @@ def _assemble(docs: DataFrame, model: str, kind: str, text_col: str, schema, fin
             speller = speller or Speller(own, _load_dictionary(folder, TaskContext.get().partitionId()))
             for lo in range(0, whole.num_rows, SLICE):
                 b = whole.slice(lo, SLICE)
-                texts = b.column(at).to_pylist()
-                speller.prepare(texts)
-                ids = list(map(speller.text, texts))
+                ids = speller.texts(b.column(at).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield finish(own, b, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())))
 

@@ -26,20 +26,41 @@ def test_python_fold_equals_the_library(library):
     pieces = L.Pieces.load(PATH)
     s = L.Speller(pieces)
     for t in texts(random.Random(1), 1500):
-        s.prepare([t])
-        assert s.text(t).tolist() == library.encode(t), repr(t)
+        assert s.texts([None, t, ""])[1].tolist() == library.encode(t), repr(t)
         assert pieces.decode(library.encode(t)) == library.decode(library.encode(t)), repr(t)
 
 
-def test_words_are_cut_alike_one_by_one_and_together():
+def words_of(text, pieces):
+    """One neighbour after the other."""
+    t = L.MARK + text.replace(" ", L.MARK)
+    out = [t[0]]
+    for a, b in zip(t, t[1:]):
+        if a + b in pieces.pairs:
+            out[-1] += b
+        else:
+            out.append(b)
+    return out
+
+
+@pytest.mark.parametrize("bulk", [1 << 20, 40, 3])
+def test_words_are_cut_as_one_by_one(bulk, monkeypatch):
+    monkeypatch.setattr(L, "BULK", bulk)
     pieces = L.Pieces.load(PATH)
-    words = [w for t in texts(random.Random(7), 400) for w in L.words_of(t)] + ["\u03ffa", "a\u03ffb", "x", "é漢e"]
-    assert pieces.atoms_of(words) == [pieces.atoms(w) for w in words] and pieces.atoms_of([]) == []
+    assert pieces.apart
+    every = [*texts(random.Random(7), 400), "\u03ffa a\u03ff", "\u03fea", "x", "é漢e", "   ", "a   b  ", "漢字仮名", "", None]
+    got = [[] for _ in every]
+    for of, words, ends in pieces.cut(every):
+        start = 0
+        for at, end in zip(of, ends, strict=True):
+            got[at] += words[start:end]
+            start = end
+        assert start == len(words)
+    assert got == [words_of(t, pieces) if t else [] for t in every]
 
 
 def test_lattice_fold_equals_the_library(spark, library):
     pieces = L.Pieces.load(PATH)
-    words = {a for t in texts(random.Random(2), 300) + ["internationalisation dictionaries unfathomable Überraschung señor"] for w in L.words_of(t) for a in pieces.atoms(w) if len(a) <= L.LONGEST and "\0" not in a}
+    words = {a for t in texts(random.Random(2), 300) + ["internationalisation dictionaries unfathomable Überraschung señor"] for a in words_of(t, pieces) if len(a) <= L.LONGEST and "\0" not in a}
     got = {r.word: r.ids for r in L.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces).collect()}
     assert got == {w: pieces.fold(w) for w in words}
 
