@@ -32,7 +32,7 @@ MARK = "▁"
 #: Words up to this many code points are exploded; longer ones are folded where they are met.
 LONGEST = 48
 #: Words folded on the spot that a worker remembers before it starts afresh, words that it collects before it sends them, and rows that it handles at once.
-REMEMBERED, COLLECTED, SLICE = 100_000, 200_000, 500
+REMEMBERED, COLLECTED, SLICE = 100_000, 100_000, 500
 #: Characters that are cut at once.
 BULK = 1 << 20
 #: Distinct words of a task that folds lattices: their edges fit its memory.
