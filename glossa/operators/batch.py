@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.distance import score_pairs
 from ..plans.durable import ship
@@ -29,36 +28,76 @@ def predictive_join(entries: DataFrame, queries: DataFrame, names: list[str] | N
     return p.join(q, "word").select("word", "key")
 
 
-def _variants(limit: int):
-    @F.pandas_udf("array<struct<v:string,n:int>>")
-    def variants(words: pd.Series) -> pd.Series:
-        def of(w: str) -> list[dict]:
-            out = {w: 0}
-            for n in range(1, min(limit, len(w)) + 1):
-                for gone in combinations(range(len(w)), n):
-                    cut, last = [], 0
-                    for g in gone:
-                        cut.append(w[last:g])
-                        last = g + 1
-                    out.setdefault("".join(cut) + w[last:], n)
-            return [{"v": v, "n": n} for v, n in out.items()]
+#: Words longer than this are sought by their pieces; what deletions leave of shorter ones is listed.
+LONG = 32
+
+
+def _cuts(d: DataFrame, c: str, limit: int) -> DataFrame:
+    """c, v, n: what is left of each word after n deletions, their places ascending so that each set of places comes once."""
+    level = d.select(c, F.col(c).alias("v"), F.lit(0).alias("n"), F.lit(1).alias("at"))
+    out = level
+    for n in range(1, limit + 1):
+        level = level.where(F.col("at") <= F.char_length("v")).select(c, "v", F.explode(F.sequence("at", F.char_length("v"))).alias("at"))
+        rest = F.concat(F.substring("v", F.lit(1), F.col("at") - 1), F.substring("v", F.col("at") + 1, F.char_length("v")))
+        level = level.select(c, rest.alias("v"), F.lit(n).alias("n"), "at")
+        out = out.unionByName(level)
+    return out.drop("at")
+
+
+def _short_pairs(words: DataFrame, keys: DataFrame, limit: int) -> DataFrame:
+    """Pairs of which some string is left after i and j deletions, i + j <= limit: met by the string and j, so that no pair is made that doesn't count."""
+    w = _cuts(words, "word", limit).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(limit) - F.col("n")))).withColumnRenamed("n", "n_word")
+    k = _cuts(keys, "key", limit).withColumnRenamed("n", "m")
+    return w.join(k, ["v", "m"]).groupBy("word", "key").agg(F.min(F.col("n_word") + F.col("m")).alias("distance"))
 
-        return words.map(of)
 
-    return variants
+@F.pandas_udf(IntegerType())
+def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The indel distance: lengths less twice the longest common subsequence, a row of bits a letter."""
+
+    def one(x: str, y: str) -> int:
+        places: dict[str, int] = {}
+        for i, c in enumerate(x):
+            places[c] = places.get(c, 0) | 1 << i
+        full = (1 << len(x)) - 1
+        row = full
+        for c in y:
+            u = row & places.get(c, 0)
+            row = (row + u | row - u) & full
+        return len(x) + len(y) - 2 * (len(x) - row.bit_count())
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
+def _long_pairs(words: DataFrame, keys: DataFrame, limit: int) -> DataFrame:
+    """Of limit + 1 pieces of a word one is whole in any key that close, at most limit letters from its place."""
+    n = F.char_length("word")
+    piece = F.expr(f"transform(sequence(0, {limit}), j -> struct(j AS j, CAST(floor(j * n / {limit + 1}) AS INT) AS a, CAST(floor((j + 1) * n / {limit + 1}) AS INT) AS b))")
+    w = words.select("word", n.alias("n")).select("word", "n", F.explode(piece).alias("x")).select("word", "n", F.col("x.j").alias("j"), F.expr("substring(word, x.a + 1, x.b - x.a)").alias("v"))
+    k = keys.select("key", F.explode(F.sequence(F.char_length("key") - limit, F.char_length("key") + limit)).alias("n")).where(F.col("n") > LONG)
+    k = k.join(words.select(n.alias("n")).distinct(), "n", "left_semi")
+    k = k.select("key", "n", F.explode(piece).alias("x")).select("key", "n", "x", F.explode(F.sequence(F.lit(-limit), F.lit(limit))).alias("s"))
+    k = k.where("x.a + s >= 0").select("key", "n", F.col("x.j").alias("j"), F.expr("substring(key, x.a + s + 1, x.b - x.a)").alias("v"))
+    near = w.join(k, ["n", "j", "v"]).select("word", "key").distinct().where(F.levenshtein("word", "key", limit) >= 0)
+    return near.withColumn("distance", _indel("word", "key")).where(F.col("distance") <= limit)
 
 
 def edit_distance_join(entries: DataFrame, queries: DataFrame, limit: int = 1, names: list[str] | None = None) -> DataFrame:
     """word, key, distance: all pairs at an indel distance of at most ``limit``.
 
     Two words are that close if and only if some string is left of both after deleting i letters of one and j of the other with
-    i + j <= limit, and the distance is the least such sum. So both sides explode what deletions leave and meet in a hash join.
+    i + j <= limit, and the distance is the least such sum. So both sides explode what deletions leave and meet in a hash join; words of more than LONG letters,
+    of which too much is left, meet by a piece instead and are then measured. Keys whose length no word comes near aren't exploded.
     """
     ship(entries.sparkSession)
-    v = _variants(limit)
-    side = lambda d, c: d.select(c).distinct().where(F.col(c) != "").select(c, F.explode(v(c)).alias("x")).select(c, F.col("x.v").alias("v"), F.col("x.n").alias(f"n_{c}"))
-    pairs = side(queries, "word").join(side(chosen(entries, names), "key"), "v").where(F.col("n_word") + F.col("n_key") <= limit)
-    return pairs.groupBy("word", "key").agg(F.min(F.col("n_word") + F.col("n_key")).alias("distance"))
+    words = queries.select("word").distinct().where("word <> ''")
+    keys = chosen(entries, names).select("key").distinct().where("key <> ''")
+    n, m = F.char_length("word"), F.char_length("key")
+    short = words.where(n <= LONG)
+    lengths = short.select(F.explode(F.sequence(n - limit, n + limit)).alias("_n")).distinct()  # at most LONG + 2 * limit
+    fit = keys.where(m <= LONG + limit).join(F.broadcast(lengths), m == F.col("_n"), "left_semi")
+    pairs = _short_pairs(short, fit, limit)
+    return pairs.unionByName(_long_pairs(words.where(n > LONG), keys.where(m > LONG - limit), limit))
 
 
 def suggest_join(entries: DataFrame, queries: DataFrame, names: list[str] | None = None, limit: int = 10) -> DataFrame:

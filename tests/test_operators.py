@@ -120,3 +120,36 @@ def test_batch_forms_equal_the_single_ones(spark, e):
     assert sorted(r.word for r in lookup.contains_many(e, q, names).collect()) == ["an", "dicionary"]
     assert sorted(r.word for r in lookup.missing(e, q, names).collect()) == sorted(set(qs) - {"an", "dicionary"})
     assert {(r.word, r["dict"], r.value) for r in lookup.exact_match_many(e, q, names).collect()} == {("an", "en", "en:an"), ("dicionary", "en2", "en2:dicionary")}
+
+
+def test_edit_distance_join_of_short_and_long_words(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abc") for _ in range(n)) for n in (1, 2, 2, 3, 4, 6, 9, 12, 30, 31, 32, 33, 34, 35, 60, 61)]
+
+    def changed(w):
+        w = list(w)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w) + 1)
+            if rng.random() < 0.5:
+                w.insert(at, rng.choice("abcé"))
+            elif at < len(w):
+                del w[at]
+        return "".join(w)
+
+    keys = sorted({changed(w) for w in base for _ in range(5)} - {""})
+    words = sorted({changed(w) for w in base for _ in range(3)} - {""})
+
+    def indel(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(row[j - 1] if x == y else min(row[j], new[-1]) + 1)
+            row = new
+        return row[-1]
+
+    e = spark.createDataFrame([("d", i, k, "") for i, k in enumerate(keys)], "dict string, entry_no long, key string, value string")
+    q = spark.createDataFrame([(w,) for w in words], "word string")
+    for limit in (1, 3):
+        got = sorted(map(tuple, batch.edit_distance_join(e, q, limit).select("word", "key", "distance").collect()))
+        assert got == sorted((w, k, d) for w in words for k in keys if (d := indel(w, k)) <= limit)
