@@ -1,6 +1,7 @@
 import json
 import os
 import queue
+import time
 
 import pytest
 
@@ -182,3 +183,19 @@ def test_text_scan_in_many_splits(spark, tmp_path):
     assert rows(records.parse_text(whole)) == want
     with pytest.raises(Exception, match="no key and value lines in record 1"):
         records.read_text(spark, write(tmp_path / "two.txt", "K\nv\n</>\n</>\n"), "t").collect()
+
+
+def test_whole_texts_are_parsed_in_linear_time(spark):
+    texts = ["", "no delimiter\n", "</", " k \r\nv\r\n\t</> \r\nk2\n\n w \n</>", "k\n</>x\n </> y\n</>\n</ >\n", "k\r\n\n</>\r\n\r\nv\n</>\n</>z", None]
+    d = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "dict string, value string")
+    got = sorted((r["dict"], r.entry_no, r.key, r.value) for r in records.parse_text(d).collect())
+    assert got == [("3", 0, "k", "v"), ("3", 1, "k2", "\n w "), ("4", 0, "k", "</>x\n </> y"), ("5", 0, "k", ""), ("5", 1, "", "v")]
+    for bad, at in (("</>\n", 0), ("\n</>", 0), ("k\nv\n</>\n</>\n", 1), ("k\nv\n</>\nk\n</>\n", 1)):
+        with pytest.raises(Exception, match=f"no key and value lines in record {at} of m"):
+            records.parse_text(spark.createDataFrame([("m", bad)], "dict string, value string")).collect()
+    # each record used to split the whole text again for each of its lines: minutes for 250 records, a cube of the length
+    for n in (250, 20000):
+        long = spark.createDataFrame([("m", "".join(f"key {i}\nvalue {i}\n</>\n" for i in range(n)))], "dict string, value string")
+        began = time.monotonic()
+        assert [r.value for r in records.parse_text(long).orderBy("entry_no").collect()] == [f"value {i}" for i in range(n)]
+        assert time.monotonic() - began < 30
