@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions.distance import score_pairs
-from ..plans.durable import ship
+from ..plans.durable import materialize, ship
 from .lookup import chosen
 
 
@@ -31,6 +33,9 @@ def predictive_join(entries: DataFrame, queries: DataFrame, names: list[str] | N
 #: Words longer than this are sought by their pieces; what deletions leave of shorter ones is listed.
 LONG = 32
 
+#: Up to so many words are measured against each key of a length near theirs: cheaper than listing what deletions leave of all those keys.
+FEW = 32
+
 
 def _cuts(d: DataFrame, c: str, limit: int) -> DataFrame:
     """c, v, n: what is left of each word after n deletions, their places ascending so that each set of places comes once."""
@@ -82,30 +87,48 @@ def _long_pairs(words: DataFrame, keys: DataFrame, limit: int) -> DataFrame:
     return near.withColumn("distance", _indel("word", "key")).where(F.col("distance") <= limit)
 
 
+def _few_pairs(words: DataFrame, keys: DataFrame, limit: int) -> DataFrame:
+    """Each key is measured against the words of a length near its own; natively first, which leaves little for ``_indel``."""
+    n = F.char_length("word")
+    w = words.select("word", F.explode(F.sequence(n - limit, n + limit)).alias("_n"))
+    near = keys.join(F.broadcast(w), F.char_length("key") == F.col("_n")).drop("_n").where(F.levenshtein("word", "key", limit) >= 0).distinct()
+    return near.withColumn("distance", _indel("word", "key")).where(F.col("distance") <= limit)
+
+
+def _close(keys: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """word and distance beside the columns of keys (key, dict), distinct. The keys are computed once, only those of a length that some word comes near."""
+    ship(keys.sparkSession)
+    n, m = F.char_length("word"), F.char_length("key")
+    words = materialize(queries.select("word").distinct().where("word <> ''"), "words")
+    sizes = [r[0] for r in words.select(F.least(n, F.lit(LONG + 1)).alias("n")).distinct().collect()]  # at most LONG + 1
+    near = sorted({i for size in sizes if size <= LONG for i in range(max(size - limit, 1), size + limit + 1)})
+    short, long = m.isin(near), m > LONG - limit if LONG + 1 in sizes else F.lit(False)
+    keys = keys.where("key <> ''").where(short | long).distinct()
+    if words.limit(FEW + 1).count() <= FEW:
+        return _few_pairs(words, keys, limit)
+    keys = materialize(keys, "keys")
+    alone = keys.select("key").distinct()
+    parts = [_short_pairs(words.where(n <= LONG), alone.where(short), limit)] if near else []
+    if LONG + 1 in sizes:
+        parts.append(_long_pairs(words.where(n > LONG), alone.where(long), limit))
+    pairs = reduce(DataFrame.unionByName, parts)
+    return pairs.join(keys, "key") if len(keys.columns) > 1 else pairs
+
+
 def edit_distance_join(entries: DataFrame, queries: DataFrame, limit: int = 1, names: list[str] | None = None) -> DataFrame:
     """word, key, distance: all pairs at an indel distance of at most ``limit``.
 
     Two words are that close if and only if some string is left of both after deleting i letters of one and j of the other with
     i + j <= limit, and the distance is the least such sum. So both sides explode what deletions leave and meet in a hash join; words of more than LONG letters,
-    of which too much is left, meet by a piece instead and are then measured. Keys whose length no word comes near aren't exploded.
+    of which too much is left, meet by a piece instead and are then measured. Keys whose length no word comes near aren't exploded. A few words are measured against the keys as they are.
     """
-    ship(entries.sparkSession)
-    words = queries.select("word").distinct().where("word <> ''")
-    keys = chosen(entries, names).select("key").distinct().where("key <> ''")
-    n, m = F.char_length("word"), F.char_length("key")
-    short = words.where(n <= LONG)
-    lengths = short.select(F.explode(F.sequence(n - limit, n + limit)).alias("_n")).distinct()  # at most LONG + 2 * limit
-    fit = keys.where(m <= LONG + limit).join(F.broadcast(lengths), m == F.col("_n"), "left_semi")
-    pairs = _short_pairs(short, fit, limit)
-    return pairs.unionByName(_long_pairs(words.where(n > LONG), keys.where(m > LONG - limit), limit))
+    return _close(chosen(entries, names).select("key"), queries, limit).select("word", "key", "distance")
 
 
 def suggest_join(entries: DataFrame, queries: DataFrame, names: list[str] | None = None, limit: int = 10) -> DataFrame:
     """word, key, score, rank: the ``limit`` best corrections of each word, tiers taken dictionary by dictionary."""
-    e = chosen(entries, names).select("dict", "key").distinct()
-    close = edit_distance_join(e, queries, 3)
     n = F.char_length("word")
-    d = close.join(e, "key").withColumn("tier", F.greatest("distance", F.when(n <= 1, 1).otherwise(2))).where(F.col("tier") <= F.least(n, F.lit(3)))
+    d = _close(chosen(entries, names).select("dict", "key"), queries, 3).withColumn("tier", F.greatest("distance", F.when(n <= 1, 1).otherwise(2))).where(F.col("tier") <= F.least(n, F.lit(3)))
     d = d.withColumn("first", F.min("tier").over(Window.partitionBy("word", "dict"))).where("tier = first").select("word", "key").distinct()
     d = d.withColumn("score", score_pairs("word", "key"))
     rank: Column = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), "key"))

@@ -153,3 +153,28 @@ def test_edit_distance_join_of_short_and_long_words(spark):
     for limit in (1, 3):
         got = sorted(map(tuple, batch.edit_distance_join(e, q, limit).select("word", "key", "distance").collect()))
         assert got == sorted((w, k, d) for w in words for k in keys if (d := indel(w, k)) <= limit)
+
+
+def test_joins_by_distance_read_the_entries_once_and_give_the_same_for_few_and_many_words(spark, monkeypatch):
+    rng = random.Random(7)
+    ks = sorted({"".join(rng.choice("abé") for _ in range(rng.choice((1, 2, 3, 5, 7, 31, 34)))) for _ in range(150)})
+    d = from_lists(spark, ks * 2, ks * 2, "x").union(from_lists(spark, ks[::2], ks[::2], "y")).union(from_lists(spark, [""], [""], "y"))
+    words = sorted({k[:i] + k[i + 1 :] for i, k in enumerate(rng.sample(ks, 40))} | {"", "ab", ks[0]})
+    q = spark.createDataFrame([(w,) for w in words], "word string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    total, e, found = d.count(), d.mapInPandas(counted, d.schema), []
+    for few in (0, 1000):
+        monkeypatch.setattr(batch, "FEW", few, raising=False)
+        for join in (batch.suggest_join, lambda e, q: batch.edit_distance_join(e, q, 2)):
+            before = read.value
+            found.append(sorted(map(tuple, join(e, q).collect())))
+            assert read.value - before == total
+    assert found[:2] == found[2:] and all(found)
+    best = {w: [(r.key, round(r.score, 9)) for r in search.spellcheck(d.where("key <> ''"), w).collect()] for w in words[::16]}
+    assert best == {w: [(k, round(s, 9)) for _, k, s, _ in sorted((x for x in found[0] if x[0] == w), key=lambda x: x[3])] for w in best}
